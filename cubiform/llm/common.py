@@ -37,10 +37,10 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def maybe_broadcast(df: DataFrame, columns: int = 4, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting: at most ``rows`` rows of about ``columns`` short values."""
-    n = df.limit(rows + 1).count()
-    return F.broadcast(df) if n <= rows and n * columns * 16 <= BROADCAST_BYTES else df
+def maybe_broadcast(df: DataFrame, columns: int = 4, more: Column | None = None) -> DataFrame:
+    """Hint a broadcast only after measuring: rows of about ``columns`` short values and ``more`` bytes each."""
+    n, extra = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(0) if more is None else more), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and n * columns * 16 + extra <= BROADCAST_BYTES else df
 
 
 def lower_ascii(text: Column) -> Column:

@@ -7,13 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, simhash, warc
+from . import decontaminate, langid, linededup, sharding, simhash, tokenfiles, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out("doc_id"))
+    model = langid.fit(docs.where("NOT held_out").select("text", "lang"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op6_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenfiles.write_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end=2)
+    return tokenfiles.read_files(spark, path)
+
+
+def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.without_boilerplate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = sharding.shard(table(spark, sf_dir, "documents"), shards=24)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -30,12 +57,46 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
+    "op2_decontaminate": op2_decontaminate,
+    "op6_tokenfiles": op6_tokenfiles,
     "op7_sharding": op7_sharding,
     "op8_warc": op8_warc,
+    "op9_linededup": op9_linededup,
     "op10_simhash": op10_simhash,
 }
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op2_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        i AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark),
+        s AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0),
+        iw AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS win FROM s),
+        sizes AS (SELECT DISTINCT n FROM iw),
+        dp AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n),
+        dw AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS win FROM dp),
+        m AS (SELECT DISTINCT doc_id, n, s, item_id FROM dw JOIN iw USING (n, win)),
+        h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY doc_id),
+        t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
+    "op9_linededup": """
+        WITH c AS (SELECT doc_id, coalesce(source, '') AS site, string_split(text, chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, site, unnest(ls) AS raw, generate_subscripts(ls, 1) AS place FROM c),
+        t AS (SELECT *, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+        b AS (SELECT line, min({'d': doc_id, 'p': place}) AS keep FROM t WHERE length(line) >= 20 GROUP BY line HAVING count(DISTINCT site) >= 10),
+        g AS (SELECT t.*, b.line IS NOT NULL AND keep <> {'d': doc_id, 'p': place} AS gone FROM t LEFT JOIN b USING (line)),
+        r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+                     coalesce(array_to_string(list(raw ORDER BY place) FILTER (WHERE NOT gone), chr(10)), '') AS kept FROM g GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+               CASE WHEN d.text IS NOT NULL THEN md5(kept) END AS text_md5
+        FROM documents d LEFT JOIN r USING (doc_id)
+    """,
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         q AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS d, max(page_id) OVER (PARTITION BY h) AS owner FROM p)
