@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, sharding, simhash, tokenfiles, warc
+from . import common, decontaminate, langid, linededup, lmscore, pieces, sharding, simhash, tokenfiles, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +32,24 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lmscore.score(docs, lmscore.fit(docs))
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encoded_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_ids", F.crc32(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids_crc32"), "round_trip")
+
+
+def encoded_documents(docs: DataFrame) -> DataFrame:
+    """``(doc_id, ids, n_ids, round_trip)``: piece ids of whole texts, and whether they decode to the text."""
+    table_ = pieces.Pieces.load(tokenizer_path("piece_bpe_32k.model"))
+    found = pieces.decode(pieces.encode(docs.select("doc_id", "text"), table_), table_)
+    same = F.col("decoded").eqNullSafe(F.replace("text", F.lit(pieces.SPACE), F.lit(" ")))
+    return found.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), same.alias("round_trip"))
+
+
 def op6_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenfiles.write_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end=2)
     return tokenfiles.read_files(spark, path)
@@ -59,6 +78,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_decontaminate": op2_decontaminate,
+    "op3_lmscore": op3_lmscore,
+    "op5_pieces": op5_pieces,
     "op6_tokenfiles": op6_tokenfiles,
     "op7_sharding": op7_sharding,
     "op8_warc": op8_warc,
