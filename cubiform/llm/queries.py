@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, langid, linededup, lmscore, pieces, sharding, simhash, tokenfiles, warc
+from . import common, decontaminate, embeddup, langid, linededup, lmscore, pieces, sharding, simhash, tokenfiles, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op3_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(docs, lmscore.fit(docs))
 
 
+def op4_embeddup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encoded_documents(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_ids", F.crc32(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids_crc32"), "round_trip")
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_decontaminate": op2_decontaminate,
     "op3_lmscore": op3_lmscore,
+    "op4_embeddup": op4_embeddup,
     "op5_pieces": op5_pieces,
     "op6_tokenfiles": op6_tokenfiles,
     "op7_sharding": op7_sharding,
