@@ -34,8 +34,8 @@ from .simhash import forest
 
 #: Nodes a shard is meant to be home to, most shards, vectors that centroids are fitted on, and the overlap.
 SHARD, MAX_SHARDS, SAMPLE, MARGIN = 2048, 4096, 65536, 0.12
-#: Candidates, degree and distance ratio of robust pruning; width of the beam; how far below the threshold a range goes on.
-CANDIDATES, DEGREE, ALPHA, BEAM, SLACK = 48, 24, 1.2, 24, 0.1
+#: Candidates, degree, far nodes and distance ratio of robust pruning; width of the beam; how far below the threshold a range goes on.
+CANDIDATES, DEGREE, FAR, ALPHA, BEAM, SLACK = 48, 24, 2, 1.2, 24, 0.1
 #: Queries searched at a time, and queries of a shard that are audited.
 BLOCK, AUDITED = 512, 64
 
@@ -64,11 +64,17 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
 
 
 def pruned_graph(x: np.ndarray) -> np.ndarray:
-    """Adjacency (n, DEGREE) of unit rows, -1 where a list is shorter: robustly pruned nearest candidates."""
+    """Adjacency of unit rows, -1 where a list is shorter: robustly pruned nearest candidates and two far nodes.
+
+    The far nodes tie groups of near copies, whose nearest candidates are all their own, to the rest.
+    """
     n = len(x)
     x = x.astype(np.float32)
     width = min(CANDIDATES, n - 1)
-    out = np.full((n, DEGREE), -1, np.int64)
+    out = np.full((n, DEGREE + FAR), -1, np.int64)
+    for k in range(FAR):
+        far = (np.arange(n) * 7919 + 104729 * (k + 1)) % n
+        out[:, DEGREE + k] = np.where(far == np.arange(n), -1, far)
     for s in range(0, n if width else 0, BLOCK):
         rows = np.arange(s, min(s + BLOCK, n))
         sim = x[rows] @ x.T
