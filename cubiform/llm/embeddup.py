@@ -72,9 +72,6 @@ def pruned_graph(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float32)
     width = min(CANDIDATES, n - 1)
     out = np.full((n, DEGREE + FAR), -1, np.int64)
-    for k in range(FAR):
-        far = (np.arange(n) * 7919 + 104729 * (k + 1)) % n
-        out[:, DEGREE + k] = np.where(far == np.arange(n), -1, far)
     for s in range(0, n if width else 0, BLOCK):
         rows = np.arange(s, min(s + BLOCK, n))
         sim = x[rows] @ x.T
@@ -92,6 +89,10 @@ def pruned_graph(x: np.ndarray) -> np.ndarray:
             out[rows[some], d] = pick[some]
             between = np.sqrt(np.maximum(2 - 2 * np.einsum("rd,rcd->rc", x[pick], points), 0))
             alive &= (ALPHA * between > gap) & (near != pick[:, None])
+    for k in range(FAR):
+        far = (np.arange(n) * 7919 + 104729 * (k + 1)) % n
+        listed = (out == far[:, None]).any(axis=1) | (far == np.arange(n))
+        out[:, DEGREE + k] = np.where(listed, -1, far)
     return out
 
 

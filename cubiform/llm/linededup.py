@@ -65,15 +65,15 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site:
 
 
 def without_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with the text rewritten, plus ``n_lines`` and ``n_removed``; rows without removals keep their text byte for byte."""
+    """``docs`` with the text rewritten, plus ``n_lines`` and ``n_removed`` (columns of those names are replaced); rows without removals keep their text byte for byte."""
     gone = stored(removals(docs, doc_id, text, site, min_sites, min_chars), "removals")
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("places").alias("__places"))
-    keyed = docs.drop("n_lines", "n_removed").withColumn("__row", text_key(F.col(text)))
+    docs = docs.drop("n_lines", "n_removed")
+    keyed = docs.withColumn("__row", text_key(F.col(text)))
     same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__key"))
     cut = F.split(F.col(text).cast("string"), "\n", -1)
     kept = F.filter(cut, lambda _, k: ~F.array_contains(F.col("__places"), k))
     new = F.when(F.col("__places").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     joined = keyed.join(maybe_broadcast(gone, 4, F.size("__places") * 4), same, "left")
     n_lines, n_gone = F.coalesce(F.size(cut), F.lit(0)), F.coalesce(F.size("__places"), F.lit(0))
-    named = joined.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns], F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col("__places").isNull(), 0).otherwise(n_gone).cast("long").alias("n_removed"))
-    return named
+    return joined.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns], F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col("__places").isNull(), 0).otherwise(n_gone).cast("long").alias("n_removed"))

@@ -182,7 +182,7 @@ def pseudo_likelihoods(texts: list[bytes | None], model: dict, net: Network) ->
         some = slice(s, s + SLICE)
         z = net.log_probabilities(net.hidden(ids, at[some]))
         lp[some] = z[np.arange(len(z)), cls[some]] + share[some]
-    return np.bincount(owner, minlength=len(texts)), np.bincount(owner, weights=lp, minlength=len(texts))
+    return np.bincount(owner, minlength=len(texts)), np.bincount(owner, weights=lp, minlength=len(texts)).astype(float)
 
 
 def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
