@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from string import ascii_letters
 
 import numpy as np
 
@@ -316,25 +317,93 @@ def belief_propagation(potentials: Cliques, total: float = 1.0, tree: Tree | Non
     return Cliques(potentials.schema, {c: done[homes[c]].project(c) for c in potentials})
 
 
-def shafer_shenoy(potentials: Cliques, total: float = 1.0, tree: Tree | None = None) -> Cliques:
-    """Messages as sum-products of the factors themselves: tables of whole tree cliques are never made."""
-    schema = potentials.active
-    tree = tree or _tree(schema, tuple(potentials))
-    inputs: list[list[Factor]] = [[] for _ in tree.cliques]
-    homes = {c: next(k for k, t in enumerate(tree.cliques) if set(c) <= set(t)) for c in potentials}
-    for c, f in potentials.items():
-        inputs[homes[c]].append(f)
-    sent: dict[tuple[int, int], Factor] = {}
+@dataclass(frozen=True)
+class _Product:
+    """A compiled sum of a product: each step multiplies some operands and sums an attribute out of them.
+
+    Operands are numbered from the inputs on; a step's result takes the next number.
+    """
+
+    steps: tuple[tuple[tuple[int, ...], str], ...]
+    sizes: tuple[int, ...]  # of attributes that no operand has, to which the result is spread
+    shape: tuple[int, ...]
+
+    @classmethod
+    def of(cls, schema: Schema, operands: Sequence[Clique], keep: Clique) -> _Product:
+        pool = dict(enumerate(map(tuple, operands)))
+        held = {a for c in pool.values() for a in c}
+        order, _ = greedy_order(schema, pool.values(), eliminate=[a for a in held if a not in keep])
+        steps, new = [], len(pool)
+
+        def join(which: list[int], out: Clique) -> None:
+            nonlocal new
+            letter = {a: ascii_letters[k] for k, a in enumerate(dict.fromkeys(a for k in which for a in pool[k]))}
+            word = lambda c: "".join(letter[a] for a in c)
+            steps.append((tuple(which), ",".join(word(pool[k]) for k in which) + "->" + word(out)))
+            for k in which:
+                del pool[k]
+            pool[new] = out
+            new += 1
+
+        for a in order:
+            mine = [k for k, c in pool.items() if a in c]
+            join(mine, schema.canonical({x for k in mine for x in pool[k]} - {a}))
+        join(list(pool), tuple(a for a in keep if a in held))
+        return cls(tuple(steps), tuple(schema[a] if a in held else 1 for a in keep), tuple(schema[a] for a in keep))
+
+    def __call__(self, operands: list[np.ndarray]) -> np.ndarray:
+        pool = list(operands)
+        for which, formula in self.steps:
+            pool.append(np.einsum(formula, *[pool[k] for k in which]))
+        return np.broadcast_to(pool[-1].reshape(self.sizes), self.shape)
+
+
+@lru_cache(maxsize=256)
+def _messages(schema: Schema, cliques: tuple[Clique, ...]) -> tuple:
+    """Compiled messages ``(key, inputs, messages in, product)`` and beliefs of a clique structure."""
+    tree = _tree(schema, cliques)
+    home = {c: next(k for k, t in enumerate(tree.cliques) if set(c) <= set(t)) for c in cliques}
+    inputs = [[i for i, c in enumerate(cliques) if home[c] == k] for k in range(len(tree.cliques))]
+    sent, messages = set(), []
     for a, b in tree.messages:
-        if tree.separator(a, b):
-            into = [sent[n, a] for n in tree.around[a] if n != b and (n, a) in sent]
-            message = log_sum_product([*inputs[a], *into], schema.project(tree.separator(a, b)))
-            sent[a, b] = message - float(np.max(message.values)) if np.isfinite(message.values).any() else message
+        keep = tree.separator(a, b)
+        if keep:
+            into = [(n, a) for n in tree.around[a] if n != b and (n, a) in sent]
+            parts = [cliques[i] for i in inputs[a]] + [tree.separator(*m) for m in into]
+            messages.append(((a, b), tuple(inputs[a]), tuple(into), _Product.of(schema, parts, keep) if parts else schema.project(keep).sizes))
+            sent.add((a, b))
+    beliefs = []
+    for c in cliques:
+        k = home[c]
+        into = [(n, k) for n in tree.around[k] if (n, k) in sent]
+        parts = [cliques[i] for i in inputs[k]] + [tree.separator(*m) for m in into]
+        beliefs.append((tuple(inputs[k]), tuple(into), _Product.of(schema, parts, c)))
+    return messages, beliefs
+
+
+def shafer_shenoy(potentials: Cliques, total: float = 1.0) -> Cliques:
+    """Messages as sum-products of the factors themselves: tables of whole tree cliques are never made.
+
+    The sequence of contractions is compiled once for a clique structure; values are shifted by their largest
+    before they leave log space, and every message is scaled to a largest value of 1.
+    """
+    messages, beliefs = _messages(potentials.active, tuple(potentials))
+    values = []
+    for f in potentials.values():
+        top = f.values.max()
+        values.append(np.exp(f.values - (top if np.isfinite(top) else 0.0)))
+    sent: dict[tuple[int, int], np.ndarray] = {}
+    for key, inputs, into, product in messages:
+        if isinstance(product, tuple):
+            sent[key] = np.ones(product)
+            continue
+        m = product([values[i] for i in inputs] + [sent[k] for k in into])
+        top = m.max()
+        sent[key] = m / top if top > 0 else m
     out = {}
-    for c, f in potentials.items():
-        k = homes[c]
-        into = [sent[n, k] for n in tree.around[k] if (n, k) in sent]
-        out[c] = _total(log_sum_product([*inputs[k], *into], f.schema), total)
+    for (c, f), (inputs, into, product) in zip(potentials.items(), beliefs, strict=True):
+        b = product([values[i] for i in inputs] + [sent[k] for k in into])
+        out[c] = Factor(f.schema, b * (total / b.sum()))
     return Cliques(potentials.schema, out)
 
 
