@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding with a relational lattice.
 
-Texts are cut into words that no piece of the vocabulary can span, and each distinct word is encoded once:
+Texts are cut into words that no piece of the vocabulary can span, words between characters that stand
+together in no piece, and each distinct part (a word, from here on) is encoded once:
 its substrings of bounded length are exploded and equi-joined to the piece table, the edges are grouped by
 word, and a higher-order ``aggregate`` folds them to the best path. For a unigram model the fold is Viterbi
 over summed scores. A BPE model's encoding is not its highest sum of scores (its scores only rank merges), so
@@ -19,8 +20,11 @@ repeated rows encode alike; an empty table gives no rows; extra columns pass thr
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,9 @@ from .common import stored
 
 SPACE = "▁"
 #: Bytes of encoded words that are broadcast at most; the rest are joined.
-PACKED_BYTES = 160 << 20
+PACKED_BYTES = 128 << 20
+#: Words that a task is meant to encode.
+TASK_WORDS = 32768
 #: Latin letters, after which a stop may end a word.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: What a character without a piece costs a unigram path.
@@ -50,10 +56,12 @@ class Pieces:
     bpe: bool
     stops: str = field(init=False)
     longest: int = field(init=False)
+    pairs: frozenset[str] = field(init=False)
 
     def __post_init__(self):
         known = [p for p, _, _ in self.rows]
         self.longest = max(map(len, known), default=1)
+        self.pairs = frozenset(p[k : k + 2] for p in known for k in range(len(p) - 1))
         self.stops = "".join(c for c in ",.;:!?" if not any(re.search(f"[{LETTERS}]{re.escape(c)}", p) for p in known))
         if any("\n" in p or "\0" in p or re.search(f"[^{SPACE}]{SPACE}", p) for p in known):
             raise ValueError("pieces that span words or lines are not supported")
@@ -73,74 +81,93 @@ class Pieces:
         return cls([(m.id_to_piece(i), i, s) for i, s in zip(plain, scores, strict=True)], names, byte_ids if len(byte_ids) == 256 else None, m.unk_id(), bpe)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([*self.rows, ("", -1, 0.0)], "piece string, id int, score double")
+        rank = {s: k for k, s in enumerate(sorted({s for _, _, s in self.rows}, reverse=True))}
+        rows = [(p, i, s, rank[s]) for p, i, s in self.rows]
+        return spark.createDataFrame([*rows, ("", 0, 0.0, 0)], "piece string, id int, score double, rank int")
+
+    def parts(self, word: str) -> list[str]:
+        """A word of ``cutter``, cut between characters that stand together in no piece, with its markers."""
+        word = word.replace(" ", SPACE)
+        ends = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.pairs]
+        return [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)], strict=True)] if ends else [word]
 
     def cutter(self):
-        """Text -> words: before a marker, around a line end, and before a stop after a letter."""
-        stop = re.compile(f"(?<=[{LETTERS}])(?=[{re.escape(self.stops)}])") if self.stops else None
-        slow = re.compile("(\0)")
+        """Text -> words: before a space, around a line end, and before a stop after a letter.
+
+        The marker is kept as the space it stands for, so that most texts stay one byte a character.
+        """
+        stop = re.compile(f"[{re.escape(self.stops)}](?<=[{LETTERS}][{re.escape(self.stops)}])") if self.stops else None
+        zero = re.compile("(\0)")
+
+        def words(marked: str) -> list[str]:
+            marked = marked.replace("\n", "\0\n\0").replace(" ", "\0 ")
+            while " \0 " in marked:
+                marked = marked.replace(" \0 ", "  ")
+            if stop:
+                marked = stop.sub("\0\\g<0>", marked)
+            return list(filter(None, marked.split("\0")))
 
         def cut(text: str) -> list[str]:
             if not text:
                 return []
+            marked = " " + text.replace(SPACE, " ")
             if "\0" in text:  # no piece has it
-                parts = slow.split(SPACE + text.replace(" ", SPACE))
-                return [w for p in parts for w in ([p] if p == "\0" else words(p))]
-            return words(SPACE + text.replace(" ", SPACE))
-
-        def words(marked: str) -> list[str]:
-            marked = marked.replace("\n", "\0\n\0").replace(SPACE, "\0" + SPACE)
-            while f"{SPACE}\0{SPACE}" in marked:
-                marked = marked.replace(f"{SPACE}\0{SPACE}", SPACE * 2)
-            if stop:
-                marked = stop.sub("\0", marked)
-            return [w for w in marked.split("\0") if w]
+                return [w for p in zero.split(marked) for w in ([p] if p == "\0" else words(p))]
+            return words(marked)
 
         return cut
 
 
-def distinct_words(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
-    """``(word, n)`` over all texts; each task sends each of its words once for each of its batches."""
-    cut = pieces.cutter()
+def distinct_parts(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
+    """``(word, n)`` of the parts of all words of all texts."""
+    cut, parts = pieces.cutter(), pieces.parts
+
+    def counts(found: Counter) -> Iterator[pa.RecordBatch]:
+        split: Counter = Counter()
+        for w, n in found.items():
+            for p in parts(w):
+                split[p] += n
+        words, n = list(split), np.fromiter(split.values(), np.int64, len(split))
+        for k in range(0, len(words), 32768):
+            yield pa.RecordBatch.from_arrays([pa.array(words[k : k + 32768], pa.string()), pa.array(n[k : k + 32768])], names=["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, int] = {}
+        found: Counter = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                for w in cut(t or ""):
-                    found[w] = found.get(w, 0) + 1
+            for k in range(0, b.num_rows, 256):
+                for t in b.column(0).slice(k, 256).to_pylist():
+                    found.update(cut(t or ""))
                 if len(found) > 1 << 18:
-                    yield from _counts(found)
-                    found = {}
-        yield from _counts(found)
+                    yield from counts(found)
+                    found = Counter()
+        yield from counts(found)
 
     counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counts(found: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    words, n = list(found), np.fromiter(found.values(), np.int64, len(found))
-    for k in range(0, len(words), 32768):
-        yield pa.RecordBatch.from_arrays([pa.array(words[k : k + 32768], pa.string()), pa.array(n[k : k + 32768])], names=["word", "n"])
-
-
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``words`` with ``edges``, the pieces found in each word: rank (the negative score), start from 0, length, id,
-    and as bits of a 64-bit number (of use up to 61 characters) both its ends and the places inside it.
+    """``words`` (distinct, in ``word``) with ``edges``, the pieces found in each.
 
-    ``words`` should be dealt by ``word`` already (as after a ``groupBy``); then edges meet without a shuffle.
+    An edge is a number: rank of the score, start from 0, length and id in 18, 20, 6 and 18 bits, so edges sort by
+    rank and then place; for a unigram model a structure that has the score besides. ``words`` should be dealt by ``word`` already; then edges meet without a shuffle.
     """
     table = F.broadcast(pieces.table(words.sparkSession))  # as long as the vocabulary, whatever the input
-    n = F.char_length("word")
-    spans = words.select("word", F.explode(F.sequence(F.lit(0), n)).alias("s"))
+    n, own = F.char_length("word"), words.columns
+    spans = words.select(*own, F.explode(F.sequence(F.lit(0), n)).alias("s"))
     width = F.when(F.col("s") == n, F.sequence(F.lit(0), F.lit(0))).otherwise(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s"))))
-    spans = spans.select("word", "s", F.explode(width).alias("len"))
+    spans = spans.select(*own, "s", F.explode(width).alias("len"))
     found = spans.withColumn("piece", F.col("word").substr(F.col("s") + 1, F.col("len"))).join(table, "piece")
-    one, end = F.lit(1).cast("long"), F.col("s") + F.col("len")
-    ends = _shift(one, "s").bitwiseOR(_shift(one, end))
-    inner = F.when(F.col("len") > 1, _shift(_shift(one, F.col("len") - 1) - 1, F.col("s") + 1)).otherwise(F.lit(0).cast("long"))
-    edge = F.struct((-F.col("score")).alias("rank"), "s", "len", "id", ends.alias("ends"), inner.alias("inner"))
-    return found.groupBy("word").agg(F.collect_list(edge).alias("edges"))
+    if max(len(pieces.names), 1) >= 1 << 18 or pieces.longest >= 1 << 6:
+        raise ValueError("the vocabulary is too large for packed edges")
+    edge = _shift(F.col("rank").cast("long"), F.lit(44)) + _shift(F.col("s").cast("long"), F.lit(24)) + _shift(F.col("len").cast("long"), F.lit(18)) + F.col("id")
+    return found.groupBy(*own).agg(F.collect_list(edge if pieces.bpe else F.struct("score", "s", "len", "id")).alias("edges"))
+
+
+def _unpacked(edges: Column) -> Column:
+    """Packed edges as structures of start, length and id."""
+    field = lambda e, by, bits: F.shiftrightunsigned(e, by).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    return F.transform(edges, lambda e: F.struct(field(e, 24, 20).alias("s"), field(e, 18, 6).alias("len"), field(e, 0, 18).alias("id")))
 
 
 def _shift(value: Column, by: Column | str) -> Column:
@@ -153,20 +180,29 @@ def _let(value: Column, body) -> Column:
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``(word, ids)`` of distinct words dealt by ``word``."""
-    found = lattice(words, pieces).select("word", F.filter("edges", lambda e: e["len"] > 0).alias("edges"))
-    return _encode_bpe(found, pieces) if pieces.bpe else found.select("word", _viterbi(pieces).alias("ids"))
+    """``words`` with ``ids``; see ``lattice`` for how they should be dealt."""
+    found = lattice(words, pieces)
+    if pieces.bpe:
+        ids = _let(_unpacked(F.sort_array("edges")), lambda all_: _let(F.filter(all_, lambda e: e["len"] > 0), lambda edges: _bpe(edges, pieces)))
+    else:
+        ids = _let(F.filter("edges", lambda e: e["len"] > 0), lambda edges: _viterbi(edges, pieces))
+    return found.select(*words.columns, ids.alias("ids"))
 
 
-def _encode_bpe(found: DataFrame, pieces: Pieces) -> DataFrame:
-    """The fold in merge order: a step joins the first edge that spans exactly two neighbours."""
+def _bpe(edges: Column, pieces: Pieces) -> Column:
+    """Ids of ``word``, its edges sorted by rank and place, by the fold in merge order: a step joins the first edge that spans exactly two neighbours."""
     n = F.char_length("word")
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    ordered = F.sort_array(F.filter("edges", lambda e: e["len"] > 1))  # by rank, then start
+    ordered = F.filter(edges, lambda e: e["len"] > 1)
     steps = F.sequence(F.lit(2), F.greatest(n, F.lit(2)))
+    ends_of = lambda e: _shift(one, e["s"]).bitwiseOR(_shift(one, e["s"] + e["len"]))
+    inner_of = lambda e: _shift(_shift(one, e["len"] - 1) - 1, e["s"] + 1)
     within = lambda mask, e: mask.bitwiseAND(e["ends"]) == e["ends"]
+    as_bits = lambda edges: F.transform(edges, lambda e: F.struct(ends_of(e).alias("ends"), inner_of(e).alias("inner")))
 
     def mask_of(joins: Column) -> Column:
+        """Starts of the final pieces, and the end, as bits."""
+
         def step(mask: Column, _: Column) -> Column:
             fits = F.filter(joins, lambda e: within(mask, e) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1))
             return mask.bitwiseAND(F.bitwise_not(F.coalesce(F.get(fits, F.lit(0))["inner"], zero)))
@@ -174,8 +210,10 @@ def _encode_bpe(found: DataFrame, pieces: Pieces) -> DataFrame:
         return F.aggregate(steps, _shift(one, n + 1) - 1, step)
 
     def ids_of_mask(mask: Column) -> Column:
-        ends = F.filter("edges", lambda e: within(mask, e) & (mask.bitwiseAND(e["inner"]) == 0))
-        path = F.sort_array(F.transform(ends, lambda e: F.struct(e["s"].alias("s"), e["id"].alias("id"))))
+        def last(e: Column) -> Column:
+            return (mask.bitwiseAND(ends_of(e)) == ends_of(e)) & (mask.bitwiseAND(F.when(e["len"] > 1, inner_of(e)).otherwise(zero)) == 0)
+
+        path = F.sort_array(F.transform(F.filter(edges, last), lambda e: F.struct(e["s"].alias("s"), e["id"].alias("id"))))
         starts = F.filter(F.sequence(F.lit(0), n - 1), lambda p: _shift(one, p).bitwiseAND(mask) != 0)
 
         def general(path: Column) -> Column:
@@ -195,11 +233,11 @@ def _encode_bpe(found: DataFrame, pieces: Pieces) -> DataFrame:
 
     def ids_of_cuts(cuts: Column) -> Column:
         spans = F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), lambda s, k: F.struct(s.alias("s"), (F.get(cuts, k + 1) - s).alias("len")))
-        return F.flatten(F.transform(spans, lambda x: _ids_of(x["s"], x["len"], pieces)))
+        return F.flatten(F.transform(spans, lambda x: _ids_of(edges, x["s"], x["len"], pieces)))
 
-    short = _let(_let(ordered, mask_of), ids_of_mask)
+    short = _let(_let(as_bits(ordered), mask_of), ids_of_mask)
     long = _let(_let(ordered, cuts_of), ids_of_cuts)
-    return found.select("word", F.when(n <= 61, short).otherwise(long).alias("ids"))
+    return F.when(n <= 61, short).otherwise(long)
 
 
 def _bytes_of(s: Column, length: Column, pieces: Pieces) -> Column:
@@ -210,20 +248,20 @@ def _bytes_of(s: Column, length: Column, pieces: Pieces) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda k: F.conv(F.substring(digits, k, F.lit(2)), 16, 10).cast("int") + first)
 
 
-def _ids_of(s: Column, length: Column, pieces: Pieces) -> Column:
+def _ids_of(edges: Column, s: Column, length: Column, pieces: Pieces) -> Column:
     """Ids of one span: its piece, else its bytes or the unknown piece."""
-    hit = F.get(F.filter(F.col("edges"), lambda e: (e["s"] == s) & (e["len"] == length)), F.lit(0))["id"]
+    hit = F.get(F.filter(edges, lambda e: (e["s"] == s) & (e["len"] == length)), F.lit(0))["id"]
     return _let(hit, lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(_bytes_of(s, length, pieces)))
 
 
-def _viterbi(pieces: Pieces) -> Column:
+def _viterbi(edges: Column, pieces: Pieces) -> Column:
     """Ids of the path with the highest sum of scores; on ties the one whose last pieces are longer."""
     n = F.char_length("word")
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("s")))
 
     def step(best: Column, end: Column) -> Column:
-        into = F.filter(F.col("edges"), lambda e: e["s"] + e["len"] == end)
-        ways = F.transform(into, lambda e: F.struct((F.get(best, e["s"])["score"] - e["rank"]).alias("score"), (-e["s"]).alias("back")))
+        into = F.filter(edges, lambda e: e["s"] + e["len"] == end)
+        ways = F.transform(into, lambda e: F.struct((F.get(best, e["s"])["score"] + e["score"]).alias("score"), (-e["s"]).alias("back")))
         lone = F.struct((F.get(best, end - 1)["score"] + UNKNOWN_SCORE).alias("score"), (1 - end).alias("back"))
         top = F.array_max(F.concat(ways, F.array(lone)))
         return F.concat(best, F.array(F.struct(top["score"].alias("score"), (-top["back"]).alias("s"))))
@@ -235,51 +273,59 @@ def _viterbi(pieces: Pieces) -> Column:
 
         cuts = F.aggregate(F.sequence(F.lit(1), n), F.array(n), back)
         spans = lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda s, k: F.struct(s.alias("s"), (F.get(c, k + 1) - s).alias("len")))
-        return F.flatten(F.transform(_let(cuts, spans), lambda x: _ids_of(x["s"], x["len"], pieces)))
+        return F.flatten(F.transform(_let(cuts, spans), lambda x: _ids_of(edges, x["s"], x["len"], pieces)))
 
     return _let(F.aggregate(F.sequence(F.lit(1), n), start, step), ids_back)
 
 
 class Packed:
-    """Encoded words by hash: sorted 64-bit hashes, where each word's ids start, and the ids."""
+    """Encoded words by hash: sorted 64-bit hashes, where each word's ids start, and the ids.
 
-    def __init__(self, words: list[bytes], ids: pa.Array):
-        from xxhash import xxh64_intdigest
+    What a worker has put together from them is kept with them, up to ``most`` words, from task to task.
+    """
 
-        h = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
-        order = np.argsort(h, kind="stable")
-        self.hashes = h[order]
-        if len(h) and (self.hashes[1:] == self.hashes[:-1]).any():
+    def __init__(self, hashes: np.ndarray, ids: pa.Array, most: int = 1 << 19):
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.most, self.known = hashes[order], most, {}
+        if len(hashes) and (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two words share a hash")
         starts = ids.offsets.to_numpy().astype(np.int64)
         length = np.diff(starts)[order]
         self.ends = np.concatenate([[0], np.cumsum(length)])
-        flat = ids.values.to_numpy().astype(np.uint32)
         take = np.repeat(starts[:-1][order] - self.ends[:-1], length) + np.arange(self.ends[-1])
-        self.ids = flat[take]
+        self.ids = ids.values.to_numpy().astype(np.uint32)[take]
 
-    def find(self, words: list[str]) -> list[bytes | None]:
-        """Ids of each word as little-endian 32-bit bytes; None for a word that is not packed."""
+    def find(self, parts: list[str]) -> list[bytes | None]:
+        """Ids of each part as little-endian 32-bit bytes; None for one that is not packed."""
         from xxhash import xxh64_intdigest
 
-        h = np.fromiter((xxh64_intdigest(w) for w in words), np.uint64, len(words))
+        h = np.fromiter(map(xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts))
         at = np.searchsorted(self.hashes, h)
         at[at == len(self.hashes)] = 0
         hit = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
         return [self.ids[self.ends[k] : self.ends[k + 1]].tobytes() if ok else None for k, ok in zip(at.tolist(), hit.tolist(), strict=True)]
 
-
-class Remembered(dict):
-    """Ids of words by lookup in the packed words, up to a bounded number kept at hand."""
-
-    def __init__(self, packed: Packed, most: int = 1 << 17):
-        self.packed, self.most = packed, most
-
-    def fill(self, cuts: list[list[str]]) -> None:
-        if len(self) > self.most:
-            self.clear()
-        new = list({w for c in cuts for w in c} - self.keys())
-        self.update(zip(new, self.packed.find(new), strict=True))
+    def words(self, cuts: list[list[str]], parts: Callable[[str], list[str]]) -> list[list[bytes | None]]:
+        """Ids of all words of each text; None for a word with a part that is not packed."""
+        get = self.known.get
+        out: list[list[bytes | None]] = [list(map(get, c)) for c in cuts]
+        open_ = [k for k, ids in enumerate(out) if None in ids]
+        if not open_:
+            return out
+        new = list({w for k in open_ for w, i in zip(cuts[k], out[k], strict=True) if i is None})
+        split = [parts(w) for w in new]
+        flat = list({p for ps in split for p in ps})
+        ids = dict(zip(flat, self.find(flat), strict=True))
+        fresh: dict[str, bytes] = {}
+        for w, ps in zip(new, split, strict=True):
+            got = [ids[p] for p in ps]
+            if None not in got:
+                fresh[w] = b"".join(got)
+        for k in open_:
+            out[k] = [fresh.get(w) if i is None else i for w, i in zip(cuts[k], out[k], strict=True)]
+        if len(self.known) + len(fresh) <= self.most:
+            self.known.update(fresh)
+        return out
 
 
 def _frequent(words: DataFrame) -> tuple[DataFrame, bool]:
@@ -296,59 +342,84 @@ def _frequent(words: DataFrame) -> tuple[DataFrame, bool]:
     return words.where(level >= least).select("word", "ids"), total <= PACKED_BYTES
 
 
-def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``ids``, the piece ids of the whole text (a column of that name is replaced)."""
+@contextmanager
+def _hashed(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Groups of a task stay in memory up to ``rows`` of them, while a table is written."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def encoded_parts(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
+    """``(word, n, ids)`` of every distinct part of a word of the texts, as a table in the shared folder."""
+    spark = docs.sparkSession
+    words = stored(distinct_parts(docs, pieces, text), "words")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // TASK_WORDS))
+    with _hashed(spark, 4 * TASK_WORDS):
+        return stored(encode_words(words.repartition(tasks, "word"), pieces), "encoded")
+
+
+def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text", verify: bool = False) -> DataFrame:
+    """``docs`` with ``ids``, the piece ids of the whole text, and if asked ``round_trip``, whether they decode to it.
+
+    Columns of those names are replaced; a null text's ids are null and its round trip true.
+    """
     spark = docs.sparkSession
-    docs = docs.drop("ids")
-    words = stored(distinct_words(docs, pieces, text), "words")
-    dealt = words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
-    coded = stored(encode_words(dealt.select("word"), pieces).join(dealt, "word"), "encoded")
+    docs = docs.drop("ids", "round_trip")
+    coded = encoded_parts(docs, pieces, text)
     few, whole = _frequent(coded)
-    got = few.select(F.col("word").cast("binary").alias("word"), "ids").toArrow()
-    packed = Packed(got["word"].to_pylist(), got["ids"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32())))
-    sent = spark.sparkContext.broadcast(packed)
-    cut = pieces.cutter()
-    rows = docs.select("*", F.lit(None).cast("map<string,array<int>>").alias("__rare"), F.col(text).cast("string").alias("__text"))
-    if not whole:  # words beyond the bound come to their documents by a join
+    got = few.select(F.xxhash64("word").alias("h"), "ids").toArrow()
+    packed = Packed(got["h"].to_numpy().astype(np.int64).view(np.uint64), got["ids"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32())))
+    del got
+    sent, names = spark.sparkContext.broadcast(packed), spark.sparkContext.broadcast(pieces.names)
+    cut, parts = pieces.cutter(), pieces.parts
+    rows = docs
+    if not whole:  # parts beyond the bound come to their documents by a join
         key = [F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("__key"), F.xxhash64(F.col(text).cast("string")).alias("__hash")]
 
         def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for at in range(0, b.num_rows, 256):
                     part = b.slice(at, 256)
-                    cuts = [list(dict.fromkeys(cut(t or ""))) for t in part.column(2).to_pylist()]
-                    memory = Remembered(sent.value)
-                    memory.fill(cuts)
-                    pairs = [(k, w) for k, c in enumerate(cuts) for w in c if memory[w] is None]
+                    own = [list({p for w in cut(t or "") for p in parts(w)}) for t in part.column(2).to_pylist()]
+                    every = list({p for c in own for p in c})
+                    lost = {p for p, i in zip(every, sent.value.find(every), strict=True) if i is None}
+                    pairs = [(k, p) for k, c in enumerate(own) for p in c if p in lost]
                     where = pa.array([k for k, _ in pairs], pa.int64())
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array([w for _, w in pairs], pa.string())], names=["__key", "__hash", "word"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array([p for _, p in pairs], pa.string())], names=["__key", "__hash", "word"])
 
         asked = docs.select(*key, F.col(text).cast("string").alias("text")).mapInArrow(missing, "__key string, __hash long, word string").distinct()
         rare = asked.join(coded.select("word", "ids"), "word").groupBy("__key", "__hash").agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("__rare"))
-        rows = docs.select("*", *key, F.col(text).cast("string").alias("__text")).join(rare, ["__key", "__hash"], "left").select(*docs.columns, "__rare", "__text")
+        rows = docs.select("*", *key).join(rare, ["__key", "__hash"], "left").select(*docs.columns, "__rare")
+    at_text, width = docs.columns.index(text), len(docs.columns)
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("round_trip", T.BooleanType())] if verify else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Remembered(sent.value)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                texts = part.column(part.num_columns - 1).to_pylist()
-                rare = part.column(part.num_columns - 2).to_pylist()
+                texts = part.column(at_text).to_pylist()
                 cuts = [cut(t or "") for t in texts]
-                memory.fill(cuts)
                 out = []
-                for t, c, r in zip(texts, cuts, rare, strict=True):
-                    got = [memory[w] for w in c]
+                for k, (t, c, got) in enumerate(zip(texts, cuts, sent.value.words(cuts, parts), strict=True)):
                     if None in got:
-                        own = {k: np.array(v, "<u4").tobytes() for k, v in r}
-                        got = [own[w] if g is None else g for w, g in zip(c, got, strict=True)]
+                        own = {w: np.array(v, "<u4").tobytes() for w, v in part.column(width)[k].as_py()}
+                        find = lambda p, own=own: own[p] if p in own else sent.value.find([p])[0]
+                        got = [b"".join(map(find, parts(w))) if g is None else g for w, g in zip(c, got, strict=True)]
                     out.append(None if t is None else np.frombuffer(b"".join(got), "<u4"))
                 size = np.array([0 if x is None else len(x) for x in out])
                 flat = np.concatenate([x for x in out if x is not None] or [np.empty(0, np.uint32)]).astype(np.int32)
                 starts = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), mask=np.append([x is None for x in out], False))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.ListArray.from_arrays(starts, pa.array(flat))], names=schema.names)
+                columns = [*part.columns[:width], pa.ListArray.from_arrays(starts, pa.array(flat))]
+                if verify:
+                    same = [t is None or decode_ids(x.tolist(), names.value) == t.replace(SPACE, " ").encode() for t, x in zip(texts, out, strict=True)]
+                    columns.append(pa.array(same, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return rows.mapInArrow(run, schema)
 
 

@@ -48,10 +48,9 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded_documents(docs: DataFrame) -> DataFrame:
     """``(doc_id, ids, n_ids, round_trip)``: piece ids of whole texts, and whether they decode to the text."""
-    table_ = pieces.Pieces.load(tokenizer_path("piece_bpe_32k.model"))
-    found = pieces.decode(pieces.encode(docs.select("doc_id", "text"), table_), table_)
-    same = F.col("decoded").eqNullSafe(F.replace("text", F.lit(pieces.SPACE), F.lit(" ")))
-    return found.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), same.alias("round_trip"))
+    model = pieces.Pieces.load(tokenizer_path("piece_bpe_32k.model"))
+    found = pieces.encode(docs.select("doc_id", "text"), model, verify=True)
+    return found.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "round_trip")
 
 
 def op6_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
