@@ -15,6 +15,7 @@ an empty table gives no files and no rows; other columns are not looked at.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,9 @@ from .common import byte_values, shared_path
 
 MAGIC, HEAD = b"TIDF0001", struct.Struct("<8sBxxxIQQq")
 #: Bits in a block of the rank directory; words that a worker remembers.
-BLOCK, CACHE = 512, 1 << 19
+BLOCK, CACHE = 512, 1 << 20
+#: A stop after a letter at the end of a piece: a token of its own.
+STOP = re.compile(rb"[.,](?<=[a-z][.,])(?=\s|$)")
 
 
 class EliasFano:
@@ -135,27 +138,73 @@ class TokenFile:
 class Encoder:
     """Ids of texts by the tokenizers library, as little-endian 32-bit bytes.
 
-    The word tokenizer drops white space and never joins what it parts, so texts are cut at ASCII white
-    space and each distinct piece is encoded by the library once per worker, up to a bounded memory.
+    The word tokenizer lowers case, drops white space and never joins what it parts, so texts are lowered in A-Z, cut
+    at ASCII white space and before a stop that ends a piece, and each distinct piece is encoded by the
+    library once per worker, up to a bounded memory. Pieces of letters alone are words to the tokenizer:
+    many are encoded at once, and told apart by the tokens that end a word. A text that holds the
+    beginning of a special token's name is cut at white space alone.
     """
 
-    def __init__(self, spec: bytes):
+    def __init__(self, spec: bytes, remembered: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_buffer(spec), {}
+        self.tokenizer, self.known, self.remembered = Tokenizer.from_buffer(spec), {}, remembered
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in names.items() if t.endswith(suffix)]] = True
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.guard = os.path.commonprefix(special).encode() if special else b"\0"
+
+    @classmethod
+    def shared(cls, spec: bytes) -> Encoder:
+        """The one of this worker, with what it remembers from earlier tasks."""
+        key = zlib.crc32(spec), len(spec)
+        if key not in _ENCODERS:
+            _ENCODERS[key] = cls(spec)
+        return _ENCODERS[key]
+
+    def cut(self, text: bytes | None) -> list[bytes]:
+        text = text or b""
+        return text.split() if self.guard in text else STOP.sub(rb" \g<0>", text.lower()).split()
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        cut = [(t or b"").split() for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
+        cut = [self.cut(t) for t in texts]
         new = list(set(chain.from_iterable(cut)) - self.known.keys())
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            got = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)
-            self.known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(part, got, strict=True))
+        fresh = self._looked_up(new)
+        if len(self.known) + len(fresh) <= self.remembered:
+            self.known.update(fresh)
+            fresh = {}
+        if fresh:
+            get, rest = self.known.get, fresh
+            return [b"".join([get(w) or rest.get(w, b"") for w in c]) for c in cut]
         return [b"".join(map(self.known.__getitem__, c)) for c in cut]
 
+    def _looked_up(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        texts = [x.decode("utf-8", "replace") for x in pieces]
+        plain = [k for k, t in enumerate(texts) if t.isalpha()] if self.ends.any() else []
+        out: dict[bytes, bytes] = {}
+        for at in range(0, len(plain), 1024):
+            part = plain[at : at + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[k] for k in part])], add_special_tokens=False)[0].ids, "<u4")
+            end = np.flatnonzero(self.ends[ids]) + 1
+            if len(end) == len(part) and end[-1] == len(ids):
+                data, last = ids.tobytes(), 0
+                for k, e in zip(part, (end * 4).tolist(), strict=True):
+                    out[pieces[k]] = data[last:e]
+                    last = e
+        rest = [k for k in range(len(pieces)) if pieces[k] not in out]
+        for at in range(0, len(rest), 8192):
+            part = rest[at : at + 8192]
+            got = self.tokenizer.encode_batch_fast([texts[k] for k in part], add_special_tokens=False)
+            out.update((pieces[k], np.array(e.ids, "<u4").tobytes()) for k, e in zip(part, got, strict=True))
+        return out
+
+
+_ENCODERS: dict[tuple[int, int], Encoder] = {}
+
 
 def _open(uri: str):
     from pyarrow import fs
@@ -173,7 +222,7 @@ def write_files(docs: DataFrame, tokenizer: str, end: int = 2, path: str | None
     tail = struct.pack("<I", end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, keys, lengths, ids = Encoder(sent.value), [], [], []
+        encoder, keys, lengths, ids = Encoder.shared(sent.value), [], [], []
         width = 2 if max(encoder.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
         for b in batches:
             for at in range(0, b.num_rows, 512):
