@@ -6,14 +6,15 @@ words of a hash bucket, and the word's share of its class comes from counts over
 log P(token | both sides) = log P(class | both sides) + log P(token | class). Their sum scores a document.
 
 Counting covers all texts, as a partially aggregated ``groupBy`` whose result grows with the corpus; only a
-lexicon of at most ``LEXICON`` words and one row per class reach the driver. Training goes once over all
+lexicon of at most ``LEXICON`` words and one row per class reach the driver. The counts of all other words come
+to the documents that hold them by a join, so every word of the corpus is scored by its own count. Training goes once over all
 texts, masking one token in ``STRIDE``: each task starts from the same parameters and moves them over its own
 rows, and the moves are averaged by tokens with a ``groupBy`` over parameter numbers, so neither driver nor
 any task holds more than one network. The result depends on how rows are dealt to tasks, but not on timing:
 a task that is run again moves alike.
 
 Tokens are runs of bytes between ASCII white space, A-Z lowered. Defined cases: a null or empty text has no
-tokens, sum 0 and no mean; words unknown to the counts take the share of a rare word of their class; very
+tokens, sum 0 and no mean; words without a count (of other corpora) take the share of a rare word of their class; very
 long texts are scored whole, in slices; repeated rows score alike; an empty corpus gives an untrained
 network. Columns other than the id and text are not looked at.
 """
@@ -146,8 +147,9 @@ def laid_out(texts: list[bytes | None], lex: dict) -> tuple[np.ndarray, np.ndarr
 
 
 def fit(docs: DataFrame, text: str = "text") -> dict:
-    """``{"lexicon", "flat"}``: counts and trained parameters."""
-    lex = lexicon(stored(word_counts(docs, text), "word-counts"))
+    """``{"lexicon", "flat", "counts"}``: frequent words, trained parameters and the table of all counts."""
+    counts = stored(word_counts(docs, text), "word-counts")
+    lex = lexicon(counts)
     start = Network.new(lex["mass"])
     sent = docs.sparkSession.sparkContext.broadcast((lex, start.flat))
 
@@ -171,7 +173,7 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
     total = max(1.0, float(v[i < 0].sum()))
     flat = start.flat.astype(np.float64)
     flat[i[i >= 0]] += v[i >= 0] / total
-    return {"lexicon": lex, "flat": flat.astype(np.float32)}
+    return {"lexicon": lex, "flat": flat.astype(np.float32), "counts": counts}
 
 
 def pseudo_likelihoods(texts: list[bytes | None], model: dict, net: Network) -> tuple[np.ndarray, np.ndarray]:
@@ -187,16 +189,26 @@ def pseudo_likelihoods(texts: list[bytes | None], model: dict, net: Network) ->
 
 def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, log_likelihood, mean_log_likelihood)``, a row per row of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    lex = model["lexicon"]
+    sent = docs.sparkSession.sparkContext.broadcast({"lexicon": lex, "flat": model["flat"]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(sent.value["flat"])
+        net, number = Network(sent.value["flat"]), sent.value["lexicon"]["number"]
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                n, lp = pseudo_likelihoods(byte_values(part.column(1)), sent.value, net)
-                mean = pa.array(np.where(n > 0, lp / np.maximum(n, 1), 0.0), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(lp), mean], names=schema.names)
-
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("mean_log_likelihood", T.DoubleType())])
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+                texts = byte_values(part.column(1))
+                n, lp = pseudo_likelihoods(texts, sent.value, net)
+                rare = pa.array([[w for w in tokens(t) if w not in number] for t in texts], pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(lp), rare], names=schema.names)
+
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("lp", T.DoubleType()), T.StructField("rare", T.ArrayType(T.BinaryType()))])
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    found = stored(found.withColumn("row", F.monotonically_increasing_id()), "scored")  # numbers are fixed once written
+    bucket = (F.crc32("word") % BUCKETS).cast("int")
+    given = F.array(*[F.lit(float(math.log(max(m, 1.0)) + s)) for m, s in zip(lex["mass"][HEADS:], lex["lone"][HEADS:], strict=True)])
+    own = found.select("row", F.explode("rare").alias("word")).withColumn("word", F.col("word").cast("string")).join(model["counts"], "word")
+    own = own.groupBy("row").agg(F.sum(F.log("n") - F.element_at(given, bucket + 1)).alias("own"))
+    total = F.col("lp") + F.coalesce("own", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
+    return found.select("row", "doc_id", "n_tokens", "lp").join(own, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"), mean.alias("mean_log_likelihood"))
