@@ -8,7 +8,7 @@ log P(token | both sides) = log P(class | both sides) + log P(token | class). Th
 Counting covers all texts, as a partially aggregated ``groupBy`` whose result grows with the corpus; only a
 lexicon of at most ``LEXICON`` words and one row per class reach the driver. The counts of all other words come
 to the documents that hold them by a join, so every word of the corpus is scored by its own count. Training goes once over all
-texts, masking one token in ``STRIDE``: each task starts from the same parameters and moves them over its own
+texts, masking every token: each task starts from the same parameters and moves them over its own
 rows, and the moves are averaged by tokens with a ``groupBy`` over parameter numbers, so neither driver nor
 any task holds more than one network. The result depends on how rows are dealt to tasks, but not on timing:
 a task that is run again moves alike.
@@ -35,8 +35,8 @@ from .common import byte_values, lower_ascii, stored
 
 #: Words kept by name, of which the first are inputs and the first of those classes of their own.
 LEXICON, INPUTS, HEADS, BUCKETS = 16384, 2048, 64, 64
-#: Tokens on each side, embedding width, one masked token in so many, tokens in a step and in a slice.
-SIDE, WIDTH, STRIDE, STEP, SLICE = 2, 16, 4, 1024, 8192
+#: Tokens on each side, embedding width, tokens in a step and in a slice.
+SIDE, WIDTH, STEP, SLICE = 2, 16, 1024, 8192
 RATE = 0.1
 
 
@@ -159,11 +159,9 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 ids, at, cls, _, _ = laid_out(byte_values(b.column(0).slice(k, 256)), lex)
-                pick = np.flatnonzero((at + k) % STRIDE == 0)
-                for s in range(0, len(pick), STEP):
-                    some = pick[s : s + STEP]
-                    net.train(ids, at[some], cls[some], seen)
-                n += len(pick)
+                for s in range(0, len(at), STEP):
+                    net.train(ids, at[s : s + STEP], cls[s : s + STEP], seen)
+                n += len(at)
         moved = net.flat.astype(np.float64) - flat
         where = np.flatnonzero(moved)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(where, -1).astype(np.int32)), pa.array(np.append(moved[where] * n, n))], names=["i", "v"])

@@ -81,3 +81,14 @@ def test_words_beyond_the_lexicon_are_scored_by_their_own_count(spark, monkeypat
     got = [(str(r.doc_id), r.n_tokens, r.log_likelihood) for r in lmscore.score(table, model).collect()]
     assert [x[:2] for x in sorted(got)] == [x[:2] for x in sorted(want)]
     assert [x[2] for x in sorted(got)] == pytest.approx([x[2] for x in sorted(want)], abs=1e-3)
+
+
+def test_every_token_is_a_training_target(spark):
+    for place in range(4):  # a word met once, at each place of a text
+        text = " ".join("rare" if k == place else "plain" for k in range(4))
+        model = lmscore.fit(docs(spark, [(1, text, "en", "s")]))
+        net, start = lmscore.Network(model["flat"]), lmscore.Network.new(model["lexicon"]["mass"])
+        own = model["lexicon"]["classes"][model["lexicon"]["number"][b"rare"]]
+        assert net.bias[own] > start.bias[own]
+    model = lmscore.fit(docs(spark, [(1, "alone", "en", "s")]))
+    assert (model["flat"] != lmscore.Network.new(model["lexicon"]["mass"]).flat).any()
