@@ -12,13 +12,18 @@ The encoded words, most frequent first and up to ``PACKED_BYTES``, go to the tas
 whole texts are put together from them; words beyond that size are joined to their documents by a shuffle.
 Decoding joins the pieces of the ids and undoes the markers.
 
-Defined cases: a null text has null ids, an empty one none; words are cut exactly, whatever their length
-(the fold is quadratic in a word's length); ``U+2581`` in a text decodes as a space, as in the library;
-repeated rows encode alike; an empty table gives no rows; extra columns pass through ``encode`` untouched.
+Parts of more than ``SHORT`` characters (unbroken codes, mostly) would make a fold over immutable arrays slow, so
+the edges of such a part, found and grouped by the same joins, are folded by a task in Python with a heap of the
+joins that are open: in time n log n, and with the same result (tested).
+
+Defined cases: a null text has null ids, an empty one none; words are cut exactly, whatever their length;
+``U+2581`` in a text decodes as a space, as in the library; repeated rows encode alike; an empty table gives no
+rows; extra columns pass through ``encode`` untouched.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -39,6 +44,8 @@ SPACE = "▁"
 PACKED_BYTES = 128 << 20
 #: Words that a task is meant to encode.
 TASK_WORDS = 32768
+#: Characters of the longest part whose starts and end fit into the bits of a number.
+SHORT = 61
 #: Latin letters, after which a stop may end a word.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: What a character without a piece costs a unigram path.
@@ -57,6 +64,8 @@ class Pieces:
     stops: str = field(init=False)
     longest: int = field(init=False)
     pairs: frozenset[str] = field(init=False)
+    numbers: np.ndarray = field(init=False)  # of the characters in pairs, by code point
+    joined: np.ndarray = field(init=False)  # whether two numbers are a pair
 
     def __post_init__(self):
         known = [p for p, _, _ in self.rows]
@@ -65,6 +74,12 @@ class Pieces:
         self.stops = "".join(c for c in ",.;:!?" if not any(re.search(f"[{LETTERS}]{re.escape(c)}", p) for p in known))
         if any("\n" in p or "\0" in p or re.search(f"[^{SPACE}]{SPACE}", p) for p in known):
             raise ValueError("pieces that span words or lines are not supported")
+        letters = sorted({c for p in self.pairs for c in p})
+        self.numbers = np.zeros(0x110000, np.int32)
+        self.numbers[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.joined = np.zeros((len(letters) + 1,) * 2, bool)
+        for a, b in self.pairs:
+            self.joined[self.numbers[ord(a)], self.numbers[ord(b)]] = True
 
     @classmethod
     def load(cls, model_file: str) -> Pieces:
@@ -85,11 +100,22 @@ class Pieces:
         rows = [(p, i, s, rank[s]) for p, i, s in self.rows]
         return spark.createDataFrame([*rows, ("", 0, 0.0, 0)], "piece string, id int, score double, rank int")
 
-    def parts(self, word: str) -> list[str]:
-        """A word of ``cutter``, cut between characters that stand together in no piece, with its markers."""
-        word = word.replace(" ", SPACE)
-        ends = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.pairs]
-        return [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)], strict=True)] if ends else [word]
+    def parts(self, words: list[str]) -> list[list[str]]:
+        """Each of ``cutter``'s words, cut between characters that stand together in no piece, with its markers.
+
+        All words are looked at as one array of characters.
+        """
+        text = "".join(words).replace(" ", SPACE)
+        code = self.numbers[np.frombuffer(text.encode("utf-32-le"), "<u4")]
+        whole = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        ends = np.ones(len(text), bool)  # whether a part ends behind a character
+        ends[:-1] = ~self.joined[code[:-1], code[1:]]
+        ends[whole - 1] = True
+        last = np.flatnonzero(ends) + 1
+        at = last.tolist()
+        flat = [text[a:b] for a, b in zip(chain((0,), at), at, strict=False)]
+        upto = (np.searchsorted(last, whole) + 1).tolist()
+        return [flat[a:b] for a, b in zip(chain((0,), upto), upto, strict=False)]
 
     def cutter(self):
         """Text -> words: before a space, around a line end, and before a stop after a letter.
@@ -124,8 +150,8 @@ def distinct_parts(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataF
 
     def counts(found: Counter) -> Iterator[pa.RecordBatch]:
         split: Counter = Counter()
-        for w, n in found.items():
-            for p in parts(w):
+        for ps, n in zip(parts(list(found)), found.values(), strict=True):
+            for p in ps:
                 split[p] += n
         words, n = list(split), np.fromiter(split.values(), np.int64, len(split))
         for k in range(0, len(words), 32768):
@@ -146,11 +172,12 @@ def distinct_parts(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataF
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
+def lattice(words: DataFrame, pieces: Pieces, packed: bool = True) -> DataFrame:
     """``words`` (distinct, in ``word``) with ``edges``, the pieces found in each.
 
-    An edge is a number: rank of the score, start from 0, length and id in 18, 20, 6 and 18 bits, so edges sort by
-    rank and then place; for a unigram model a structure that has the score besides. ``words`` should be dealt by ``word`` already; then edges meet without a shuffle.
+    A packed edge, of words of at most ``SHORT`` characters, is a number: rank of the score, start from 0, length and
+    id in 18, 20, 6 and 18 bits, so edges sort by rank and then place. Other edges are structures that have the
+    score besides. ``words`` should be dealt by ``word`` already; then edges meet without a shuffle.
     """
     table = F.broadcast(pieces.table(words.sparkSession))  # as long as the vocabulary, whatever the input
     n, own = F.char_length("word"), words.columns
@@ -161,7 +188,7 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     if max(len(pieces.names), 1) >= 1 << 18 or pieces.longest >= 1 << 6:
         raise ValueError("the vocabulary is too large for packed edges")
     edge = _shift(F.col("rank").cast("long"), F.lit(44)) + _shift(F.col("s").cast("long"), F.lit(24)) + _shift(F.col("len").cast("long"), F.lit(18)) + F.col("id")
-    return found.groupBy(*own).agg(F.collect_list(edge if pieces.bpe else F.struct("score", "s", "len", "id")).alias("edges"))
+    return found.groupBy(*own).agg(F.collect_list(edge if packed and pieces.bpe else F.struct("score", "rank", "s", "len", "id")).alias("edges"))
 
 
 def _unpacked(edges: Column) -> Column:
@@ -179,14 +206,94 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``words`` with ``ids``; see ``lattice`` for how they should be dealt."""
-    found = lattice(words, pieces)
+def encode_words(words: DataFrame, pieces: Pieces, tasks: int) -> DataFrame:
+    """``words`` (distinct, in ``word``) with ``ids``, by that many tasks."""
+    short, long = (words.where(x).repartition(tasks, "word") for x in (F.char_length("word") <= SHORT, F.char_length("word") > SHORT))
+    found = lattice(short, pieces)
     if pieces.bpe:
         ids = _let(_unpacked(F.sort_array("edges")), lambda all_: _let(F.filter(all_, lambda e: e["len"] > 0), lambda edges: _bpe(edges, pieces)))
     else:
         ids = _let(F.filter("edges", lambda e: e["len"] > 0), lambda edges: _viterbi(edges, pieces))
-    return found.select(*words.columns, ids.alias("ids"))
+    return found.select(*words.columns, ids.alias("ids")).unionByName(_long(long, pieces))
+
+
+def _long(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """``encode_words`` for parts of any length."""
+    found = lattice(words, pieces, packed=False).select(*words.columns, "edges")
+    schema = T.StructType([*words.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    at = words.columns.index("word")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                one = b.slice(k, 1)
+                edges = one.column(b.num_columns - 1).flatten()
+                score, rank, s, length, id_ = (c.to_numpy() for c in edges.flatten())
+                real = length > 0  # the end of a word has an edge that matches no text
+                path = (long_merges if pieces.bpe else long_viterbi)(len(one.column(at)[0].as_py()), s[real], length[real], rank[real] if pieces.bpe else score[real])
+                ids = long_ids(one.column(at)[0].as_py(), path, dict(zip(zip(s[real].tolist(), length[real].tolist(), strict=True), id_[real].tolist(), strict=True)), pieces)
+                yield pa.RecordBatch.from_arrays([*one.columns[:-1], pa.array([ids], pa.list_(pa.int32()))], names=schema.names)
+
+    return found.mapInArrow(run, schema)
+
+
+def long_merges(n: int, s: np.ndarray, length: np.ndarray, rank: np.ndarray) -> list[int]:
+    """Ends of the parts that the fold in merge order leaves of ``n`` characters."""
+    ranks = dict(zip(zip(s.tolist(), (s + length).tolist(), strict=True), rank.tolist(), strict=True))
+    after, before = list(range(1, n + 1)), list(range(-1, n))  # of a start its part's end, of an end its part's start
+    open_ = [(r, a, a + 1, b) for (a, b), r in ranks.items() if b == a + 2]
+    heapq.heapify(open_)
+    alive = bytearray(b"\1") * (n + 1)  # starts of parts
+    while open_:
+        _, a, middle, b = heapq.heappop(open_)
+        if not (alive[a] and after[a] == middle and middle < n and alive[middle] and after[middle] == b):
+            continue
+        alive[middle], after[a], before[b] = 0, b, a
+        if a:
+            c = before[a]
+            if (r := ranks.get((c, b))) is not None:
+                heapq.heappush(open_, (r, c, a, b))
+        if b < n:
+            c = after[b]
+            if (r := ranks.get((a, c))) is not None:
+                heapq.heappush(open_, (r, a, b, c))
+    ends, at = [], 0
+    while at < n:
+        at = after[at]
+        ends.append(at)
+    return ends
+
+
+def long_viterbi(n: int, s: np.ndarray, length: np.ndarray, score: np.ndarray) -> list[int]:
+    """Ends of the pieces of the path with the highest sum of scores; on ties the one whose last pieces are longer."""
+    order = np.argsort(s + length, kind="stable")
+    into = np.searchsorted((s + length)[order], np.arange(n + 2)).tolist()
+    s, score = s[order].tolist(), score[order].tolist()
+    best, back = [0.0], [0]
+    for end in range(1, n + 1):
+        ways = [(best[s[k]] + score[k], -s[k]) for k in range(into[end], into[end + 1])]
+        top, start = max([*ways, (best[end - 1] + UNKNOWN_SCORE, 1 - end)])
+        best.append(top)
+        back.append(-start)
+    ends, at = [], n
+    while at:
+        ends.append(at)
+        at = back[at]
+    return ends[::-1]
+
+
+def long_ids(word: str, ends: list[int], ids: dict[tuple[int, int], int], pieces: Pieces) -> list[int]:
+    """Ids of the spans between ``ends``: their pieces, else their bytes or the unknown piece."""
+    out = []
+    for a, b in zip([0, *ends], ends, strict=False):
+        known = ids.get((a, b - a))
+        if known is not None:
+            out.append(known)
+        elif pieces.byte_ids is None:
+            out.append(pieces.unknown)
+        else:
+            out += [pieces.byte_ids[x] for x in word[a:b].encode()]
+    return out
 
 
 def _bpe(edges: Column, pieces: Pieces) -> Column:
@@ -223,21 +330,7 @@ def _bpe(edges: Column, pieces: Pieces) -> Column:
         full = lambda p: F.size(p) + 1 == F.bit_count(mask)
         return _let(path, lambda p: F.when(full(p), F.transform(p, lambda e: e["id"])).otherwise(general(p)))
 
-    def cuts_of(joins: Column) -> Column:
-        def step(cuts: Column, _: Column) -> Column:
-            inside = lambda e: F.size(F.filter(cuts, lambda c: (c > e["s"]) & (c < e["s"] + e["len"]))) == 1
-            fits = F.filter(joins, lambda e: F.array_contains(cuts, e["s"]) & F.array_contains(cuts, e["s"] + e["len"]) & inside(e))
-            return _let(F.get(fits, F.lit(0)), lambda b: F.when(b.isNull(), cuts).otherwise(F.filter(cuts, lambda c: (c <= b["s"]) | (c >= b["s"] + b["len"]))))
-
-        return F.aggregate(steps, F.sequence(F.lit(0), n), step)
-
-    def ids_of_cuts(cuts: Column) -> Column:
-        spans = F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), lambda s, k: F.struct(s.alias("s"), (F.get(cuts, k + 1) - s).alias("len")))
-        return F.flatten(F.transform(spans, lambda x: _ids_of(edges, x["s"], x["len"], pieces)))
-
-    short = _let(_let(as_bits(ordered), mask_of), ids_of_mask)
-    long = _let(_let(ordered, cuts_of), ids_of_cuts)
-    return F.when(n <= 61, short).otherwise(long)
+    return _let(_let(as_bits(ordered), mask_of), ids_of_mask)
 
 
 def _bytes_of(s: Column, length: Column, pieces: Pieces) -> Column:
@@ -305,7 +398,7 @@ class Packed:
         hit = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
         return [self.ids[self.ends[k] : self.ends[k + 1]].tobytes() if ok else None for k, ok in zip(at.tolist(), hit.tolist(), strict=True)]
 
-    def words(self, cuts: list[list[str]], parts: Callable[[str], list[str]]) -> list[list[bytes | None]]:
+    def words(self, cuts: list[list[str]], parts: Callable[[list[str]], list[list[str]]]) -> list[list[bytes | None]]:
         """Ids of all words of each text; None for a word with a part that is not packed."""
         get = self.known.get
         out: list[list[bytes | None]] = [list(map(get, c)) for c in cuts]
@@ -313,8 +406,8 @@ class Packed:
         if not open_:
             return out
         new = list({w for k in open_ for w, i in zip(cuts[k], out[k], strict=True) if i is None})
-        split = [parts(w) for w in new]
-        flat = list({p for ps in split for p in ps})
+        split = parts(new)
+        flat = list(set(chain.from_iterable(split)))
         ids = dict(zip(flat, self.find(flat), strict=True))
         fresh: dict[str, bytes] = {}
         for w, ps in zip(new, split, strict=True):
@@ -360,7 +453,7 @@ def encoded_parts(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFr
     words = stored(distinct_parts(docs, pieces, text), "words")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // TASK_WORDS))
     with _hashed(spark, 4 * TASK_WORDS):
-        return stored(encode_words(words.repartition(tasks, "word"), pieces), "encoded")
+        return stored(encode_words(words, pieces, tasks), "encoded")
 
 
 def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text", verify: bool = False) -> DataFrame:
@@ -385,7 +478,7 @@ def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
             for b in batches:
                 for at in range(0, b.num_rows, 256):
                     part = b.slice(at, 256)
-                    own = [list({p for w in cut(t or "") for p in parts(w)}) for t in part.column(2).to_pylist()]
+                    own = [list(set(chain.from_iterable(parts(list(set(cut(t or ""))))))) for t in part.column(2).to_pylist()]
                     every = list({p for c in own for p in c})
                     lost = {p for p, i in zip(every, sent.value.find(every), strict=True) if i is None}
                     pairs = [(k, p) for k, c in enumerate(own) for p in c if p in lost]
@@ -409,7 +502,7 @@ def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
                     if None in got:
                         own = {w: np.array(v, "<u4").tobytes() for w, v in part.column(width)[k].as_py()}
                         find = lambda p, own=own: own[p] if p in own else sent.value.find([p])[0]
-                        got = [b"".join(map(find, parts(w))) if g is None else g for w, g in zip(c, got, strict=True)]
+                        got = [b"".join(map(find, parts([w])[0])) if g is None else g for w, g in zip(c, got, strict=True)]
                     out.append(None if t is None else np.frombuffer(b"".join(got), "<u4"))
                 size = np.array([0 if x is None else len(x) for x in out])
                 flat = np.concatenate([x for x in out if x is not None] or [np.empty(0, np.uint32)]).astype(np.int32)

@@ -187,10 +187,43 @@ def test_unigram_lattice_takes_the_best_path(spark):
             paths[e] = max(ways)
         return paths[-1][1]
 
-    for r in pieces.encode_words(words, model).collect():
+    for r in pieces.encode_words(words, model, 2).collect():
         assert r.ids == best(r.word)
 
 
+def test_long_unbroken_words(spark):
+    import sentencepiece
+
+    path, rng = tokenizer_path("piece_bpe_32k.model"), random.Random(8)
+    model, library = pieces.Pieces.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ACGT", "abcXYZ019+/=", "x", "aé漢😀"]
+    texts = ["".join(rng.choices(k, k=n)) for k in kinds for n in (61, 62, 200, 4000)] + ["".join(rng.choices("ACGT", k=100_000))]
+    rows = [(k, t, "x", "s") for k, t in enumerate(texts)]
+    for r in pieces.encode(docs(spark, rows), model, verify=True).collect():
+        assert r.ids == library.encode(r.text) and r.round_trip, (r.doc_id, len(r.text))
+
+
+def test_long_and_short_folds_agree(spark):
+    rng = random.Random(9)
+    table = {p: -rng.randrange(1, 60) / 8 for p in {"".join(rng.choices("abc", k=rng.randrange(1, 6))) for _ in range(60)}}
+    words = spark.createDataFrame([("".join(rng.choices("abcd", k=rng.randrange(1, 50))),) for _ in range(60)], "word string").distinct()
+    for bpe in (False, True):
+        model = pieces.Pieces([(p, k, s) for k, (p, s) in enumerate(table.items())], [p.encode() for p in table], None, 99, bpe=bpe)
+        short = {r.word: r.ids for r in pieces.encode_words(words, model, 2).collect()}
+        assert short == {r.word: r.ids for r in pieces._long(words, model).collect()}
+
+
+def test_parts_are_cut_between_characters_that_no_piece_joins():
+    model = pieces.Pieces.load(tokenizer_path("piece_bpe_32k.model"))
+    words = [" the", "a1b2", "\n", "\0", "naïve漢字", "  ", "x" * 70, " 2024-01"]
+    for word, got in zip(words, model.parts(words), strict=True):
+        marked = word.replace(" ", "▁")
+        assert "".join(got) == marked
+        ends = {sum(map(len, got[:k])) for k in range(1, len(got))}
+        assert ends == {k for k in range(1, len(marked)) if marked[k - 1 : k + 1] not in model.pairs}
+    assert model.parts([]) == []
+
+
 # -- token files
 
 
