@@ -98,6 +98,36 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch):
     assert embeddup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("width", "large", "copies"), [(8, 16384, 16.0), (16, 16384, 16.0), (64, 16384, 16.0), (16, 600, 16.0), (16, 16384, 1.5)])
+def test_no_link_is_lost_between_shards(spark, monkeypatch, width, large, copies):
+    monkeypatch.setattr(embeddup, "SHARD", 300)
+    monkeypatch.setattr(embeddup, "LARGE", large)
+    monkeypatch.setattr(embeddup, "COPIES", copies)
+    rng = np.random.default_rng(width)
+    x = embeddup.unit(rng.normal(size=(1200, width)))
+    side = rng.normal(size=x.shape)
+    side = embeddup.unit(side - (side * x).sum(axis=1, keepdims=True) * x)
+    turn = np.arccos(0.951)
+    x = np.concatenate([x, np.cos(turn) * x + np.sin(turn) * side])
+    got = {r.vec_id: r for r in embeddup.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    links = (x @ x.T >= 0.95).sum(axis=1) - 1
+    assert links.sum() >= 2400
+    assert [got[k].n_links for k in range(len(x))] == links.tolist()
+    assert all(got[k].component_id == got[k + 1200].component_id for k in range(1200))
+    assert got[0].audit_links == got[0].audit_found > 0
+
+
+def test_lists_are_bounded():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 700, 7919):
+        x = rng.normal(size=(n, 8))
+        import pyarrow as pa
+
+        got = embeddup._build(pa.table({"node": np.arange(n), "v": pa.array(list(x))}))
+        both = np.unique(np.stack([got["node"].to_numpy(), got["other"].to_numpy()]), axis=1)
+        assert np.bincount(both[0], minlength=n).max() <= 2 * (embeddup.DEGREE + embeddup.FAR)
+
+
 def test_graph_search_finds_ranges():
     rng = np.random.default_rng(4)
     x = embeddup.unit(np.concatenate([rng.normal(size=(800, 24)), rng.normal(size=24) + rng.normal(size=(100, 24)) * 0.15]))
