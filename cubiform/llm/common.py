@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -25,9 +26,14 @@ def workers_import(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder every executor sees: ``spark.checkpoint.dir``.
+
+    Only on one machine, and where that is unset, a folder of our own is set; elsewhere it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cubiform-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -38,11 +44,12 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: lineage ends at files all executors share."""
+def stored(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet, a folder a value of ``by``, and read it back: lineage ends at files all executors share."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

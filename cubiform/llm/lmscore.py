@@ -1,20 +1,23 @@
 """LM scoring by masked pseudo-likelihood, with a bidirectional window network trained in numpy.
 
-Every token is hidden in turn and predicted from the ``SIDE`` tokens before it and after it. The network
-sums embeddings of both sides and predicts the token's class; the class holds a frequent word alone, or all
-words of a hash bucket, and the word's share of its class comes from counts over the whole corpus:
-log P(token | both sides) = log P(class | both sides) + log P(token | class). Their sum scores a document.
-
-Counting covers all texts, as a partially aggregated ``groupBy`` whose result grows with the corpus; only a
-lexicon of at most ``LEXICON`` words and one row per class reach the driver. The counts of all other words come
-to the documents that hold them by a join, so every word of the corpus is scored by its own count. Training goes once over all
-texts, masking every token: each task starts from the same parameters and moves them over its own
-rows, and the moves are averaged by tokens with a ``groupBy`` over parameter numbers, so neither driver nor
-any task holds more than one network. The result depends on how rows are dealt to tasks, but not on timing:
-a task that is run again moves alike.
+Every token is hidden in turn and predicted from the ``SIDE`` tokens before it and after it. The network sums
+embeddings of both sides and predicts the word in two steps: its class, which is a frequent word alone or a hash
+bucket, and then the word within its bucket, among the words of the lexicon and one place for all other words,
+both given both sides:
+log P(token | both sides) = log P(class | both sides) + log P(word | class, both sides).
+A word beyond the lexicon takes its share of its bucket's last place by its own count over the whole corpus.
+The sum over all words of the corpus is one; the untrained network is the corpus's unigram model.
+
+Counting covers all texts, as a partially aggregated ``groupBy`` whose result grows with the corpus. Counts go to
+the tasks as hash-sorted arrays, most frequent first, up to ``PACKED_BYTES``; words beyond that come to the documents
+that hold them by a join, so every word is scored by its own count. Texts are cut into word numbers once and
+stored. Training masks every token once: the texts are dealt into ``ROUNDS`` parts by hash, and in a round each
+task starts from the same parameters, moves them over its own rows of that part, and the moves are averaged by
+tokens with a ``groupBy`` over parameter numbers, so neither driver nor any task holds more than one network.
+The result depends on how rows are dealt to tasks, but not on timing: a task that is run again moves alike.
 
 Tokens are runs of bytes between ASCII white space, A-Z lowered. Defined cases: a null or empty text has no
-tokens, sum 0 and no mean; words without a count (of other corpora) take the share of a rare word of their class; very
+tokens, sum 0 and no mean; a word without a count (of other corpora) takes less than the share of a word met once; very
 long texts are scored whole, in slices; repeated rows score alike; an empty corpus gives an untrained
 network. Columns other than the id and text are not looked at.
 """
@@ -22,22 +25,25 @@ network. Columns other than the id and text are not looked at.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import byte_values, lower_ascii, stored
 
-#: Words kept by name, of which the first are inputs and the first of those classes of their own.
-LEXICON, INPUTS, HEADS, BUCKETS = 16384, 2048, 64, 64
-#: Tokens on each side, embedding width, tokens in a step and in a slice.
-SIDE, WIDTH, STEP, SLICE = 2, 16, 1024, 8192
-RATE = 0.1
+#: Words predicted by name at most and their longest bytes; the first of them are inputs of their own, and the first of those classes of their own.
+LEXICON, LONGEST, INPUTS, HEADS, BUCKETS = 8192, 256, 4096, 64, 64
+#: Bytes of counts that are broadcast at most; the rest are joined.
+PACKED_BYTES = 64 << 20
+#: Tokens on each side, embedding width, tokens in a step and in a slice of scoring, averaged rounds.
+SIDE, WIDTH, STEP, SLICE, ROUNDS = 2, 16, 8192, 16384, 3
+#: Step length, its first divisor, and the bound of a logit.
+RATE, FIRST, FAR = 0.1, 1e-3, 80.0
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -50,163 +56,339 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def lexicon(counts: DataFrame) -> dict:
-    """Words by falling count, and the statistics of the classes, from all counts."""
-    level = F.floor(F.log2("n") * 16).cast("int")
-    steps = sorted((r.level, r.words) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect())  # a thousand rows at most
-    least, total = None, 0
-    for at, n in reversed(steps):
+def _hash(words: list[bytes]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter(map(xxh64_intdigest, words, repeat(42)), np.uint64, len(words))
+
+
+def _level() -> Column:
+    return F.floor(F.log2("n") * 16).cast("int")
+
+
+def _down_to(steps: list[tuple[int, int]], most: int) -> int:
+    """The least level such that words of it and above are at most ``most``."""
+    least, total = 1 << 30, 0
+    for at, n in sorted(steps, reverse=True):
         total += n
-        if total > LEXICON:
+        if total > most:
             break
         least = at
-    kept = counts.where(level >= least) if least is not None else counts.limit(0)
-    words = sorted(((bytes(r.w), r.n) for r in kept.select(F.col("word").cast("binary").alias("w"), "n").collect()), key=lambda x: (-x[1], x[0]))
-    heads = [w for w, _ in words[:HEADS]]
-    tail = counts.where(~F.col("word").cast("binary").isin([F.lit(w) for w in heads])) if heads else counts
-    rare = F.when(level >= (least if least is not None else 1 << 30), 0).otherwise(1)
-    by = tail.groupBy((F.crc32("word") % BUCKETS).cast("int").alias("b")).agg(F.sum("n").alias("n"), F.sum(rare * F.col("n")).alias("rare_n"), F.sum(rare).alias("rare_words"))
-    mass, lone = np.zeros(HEADS + BUCKETS), np.full(HEADS + BUCKETS, -math.log(2.0))
-    for r in by.collect():
-        mass[HEADS + r.b] = r.n
-        lone[HEADS + r.b] = math.log(r.rare_n / r.rare_words / r.n) if r.rare_words else -math.log(r.n + 1.0)
-    mass[: len(heads)] = [n for _, n in words[: len(heads)]]
-    classes = [k if k < HEADS else HEADS + zlib.crc32(w) % BUCKETS for k, (w, _) in enumerate(words)]
-    within = [0.0 if k < HEADS else math.log(n / mass[classes[k]]) for k, (_, n) in enumerate(words)]
-    inputs = [k if k < INPUTS else INPUTS + zlib.crc32(w) % BUCKETS for k, (w, _) in enumerate(words)]
-    return {"number": {w: k for k, (w, _) in enumerate(words)}, "classes": np.array(classes, np.int32), "within": np.array(within), "inputs": np.array(inputs, np.int32), "lone": lone, "mass": mass}
+    return least
+
+
+def lexicon(counts: DataFrame) -> dict:
+    """Words by falling count with their class and place, what holds for the classes, and the packed counts of other words."""
+    level, named = _level(), F.octet_length("word") <= LONGEST
+    steps = counts.groupBy(level.alias("level"), named.alias("named")).agg(F.count(F.lit(1)).alias("words")).collect()  # two thousand rows at most
+    every: dict[int, int] = {}
+    for r in steps:
+        every[r.level] = every.get(r.level, 0) + r.words
+    least, packed = _down_to([(r.level, r.words) for r in steps if r.named], LEXICON), _down_to(list(every.items()), PACKED_BYTES // 12)
+    kept = (level >= least) & named
+    words = sorted(((bytes(r.w), r.n) for r in counts.where(kept).select(F.col("word").cast("binary").alias("w"), "n").collect()), key=lambda x: (-x[1], x[0]))
+    bucket = (_hash([w for w, _ in words]) % np.uint64(BUCKETS)).astype(np.int64)
+    slot, size = np.zeros(len(words) + BUCKETS, np.int64), np.ones(BUCKETS, np.int64)  # the first place of a bucket is for all other words
+    for k in range(HEADS, len(words)):
+        slot[k] = size[bucket[k]]
+        size[bucket[k]] += 1
+    rare = np.zeros(BUCKETS)
+    for r in counts.where(~kept).groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.sum("n").alias("n")).collect():
+        rare[r.b] = r.n
+    classes = np.concatenate([np.where(np.arange(len(words)) < HEADS, np.arange(len(words)), HEADS + bucket), HEADS + np.arange(BUCKETS)]).astype(np.int64)
+    inputs = np.concatenate([np.where(np.arange(len(words)) < INPUTS, np.arange(len(words)), INPUTS + bucket), INPUTS + np.arange(BUCKETS)]).astype(np.uint16)
+    mass = np.full((BUCKETS, int(size.max())), -1.0)
+    mass[:, 0] = rare
+    for k in range(HEADS, len(words)):
+        mass[bucket[k], slot[k]] = words[k][1]
+    heads = np.array([n for _, n in words[:HEADS]] + [0] * max(0, HEADS - len(words)), float)
+    got = counts.where(~kept & (level >= packed)).select(F.xxhash64("word").alias("h"), F.col("n").cast("long").alias("n")).toArrow()
+    h, n = got["h"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy()
+    order = np.argsort(h)
+    return {
+        "number": {w: k for k, (w, _) in enumerate(words)},
+        "classes": classes,
+        "inputs": inputs,
+        "slots": slot,
+        "heads": heads,
+        "mass": mass,
+        "hashes": h[order],
+        "counts": np.log(n[order]).astype(np.float32),
+        "whole": packed <= min(every, default=0),
+    }
 
 
 class Network:
-    """Embeddings of the left and right side, and class weights; ``flat`` numbers all parameters."""
+    """Embeddings of the left and right side, class weights and the weights of each bucket's words; ``flat`` numbers all parameters.
+
+    The last row of a table of weights is the bias.
+    """
 
     rows = INPUTS + BUCKETS + 1  # the last is the place outside a text
 
-    def __init__(self, flat: np.ndarray):
+    def __init__(self, flat: np.ndarray, places: int):
         n, c = self.rows * WIDTH, HEADS + BUCKETS
-        self.flat = flat.astype(np.float32)
-        cut = np.split(self.flat, [n, 2 * n, 2 * n + WIDTH * c])
+        self.flat, self.places = flat.astype(np.float32), places
+        cut = np.split(self.flat, np.cumsum([n, n, (WIDTH + 1) * c]))
         self.left, self.right = cut[0].reshape(-1, WIDTH), cut[1].reshape(-1, WIDTH)
-        self.out, self.bias = cut[2].reshape(WIDTH, c), cut[3]
+        self.out, self.inner = cut[2].reshape(WIDTH + 1, c), cut[3].reshape(BUCKETS, WIDTH + 1, places)
 
     @classmethod
-    def new(cls, mass: np.ndarray, seed: int = 7) -> Network:
-        n, c = cls.rows * WIDTH, HEADS + BUCKETS
-        spread = np.random.default_rng(seed).normal(0, 0.3, 2 * n + WIDTH * c)
-        return cls(np.concatenate([spread, np.log((mass + 1) / (mass.sum() + len(mass)))]))
+    def new(cls, lex: dict, seed: int = 7) -> Network:
+        """Random embeddings, no weights, and as biases the logarithms of the corpus's shares."""
+        mass = lex["mass"]
+        of = np.concatenate([lex["heads"], np.maximum(mass, 0).sum(axis=1)]) + 0.5
+        within = np.maximum(mass, 0) + 0.5
+        spread = np.random.default_rng(seed).normal(0, 0.3, 2 * cls.rows * WIDTH)
+        net = cls(np.concatenate([spread, np.zeros((WIDTH + 1) * len(of) + BUCKETS * (WIDTH + 1) * mass.shape[1])]), mass.shape[1])
+        net.out[WIDTH] = np.log(of / of.sum())
+        net.inner[:, WIDTH] = np.where(mass < 0, -FAR, np.log(within / np.where(mass < 0, 0, within).sum(axis=1, keepdims=True)))
+        return net
 
     def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        h = self.left[ids[at - 1]] + self.right[ids[at + 1]]
+        """Sums of both sides around the rising places ``at``, and a one for the bias."""
+        lo, hi = at[0], at[-1] + 1
+        near = ids[lo - SIDE : hi + SIDE]
+        left, right, n = self.left[near], self.right[near], hi - lo
+        h = np.ones((n, WIDTH + 1), np.float32)
+        sums = left[SIDE - 1 : SIDE - 1 + n] + right[SIDE + 1 : SIDE + 1 + n]
         for o in range(2, SIDE + 1):
-            h += (self.left[ids[at - o]] + self.right[ids[at + o]]) / np.float32(o)
-        return h
-
-    def log_probabilities(self, h: np.ndarray) -> np.ndarray:
-        z = h @ self.out + self.bias
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
-
-    def train(self, ids: np.ndarray, at: np.ndarray, target: np.ndarray, seen: np.ndarray) -> None:
+            sums += (left[SIDE - o : SIDE - o + n] + right[SIDE + o : SIDE + o + n]) / np.float32(o)
+        h[:, :WIDTH] = sums
+        return h[at - lo]
+
+    def gradients(self, ids: np.ndarray, at: np.ndarray, target: np.ndarray, slot: np.ndarray) -> dict[str, tuple]:
+        """Of the mean negative log-probability of the tokens at rising places ``at``: per array, the rows that have any and their gradients."""
+        h, scale = self.hidden(ids, at), np.float32(1 / len(at))
+
+        def error(h: np.ndarray, weights: np.ndarray, true: np.ndarray) -> np.ndarray:
+            z, total = _exponentials(h, weights)
+            z *= (scale / total)[:, None]
+            z[np.arange(len(true)), true] -= scale
+            return z
+
+        d = error(h, self.out, target)
+        back = d @ self.out[:WIDTH].T
+        found = {"out": (slice(None), h.T @ d)}
+        order, bounds = _by_bucket(target)
+        which, sorted_h, sorted_slot = np.flatnonzero(np.diff(bounds)), h[order], slot[order]
+        inner, more = np.empty((len(which), WIDTH + 1, self.places), np.float32), np.empty((len(order), WIDTH), np.float32)
+        for k, b in enumerate(which.tolist()):
+            some = slice(bounds[b], bounds[b + 1])
+            d = error(sorted_h[some], self.inner[b], sorted_slot[some])
+            np.matmul(sorted_h[some].T, d, out=inner[k])
+            np.matmul(d, self.inner[b, :WIDTH].T, out=more[some])
+        back[order] += more
+        found["inner"] = (which, inner)
+        lo, n = at[0], at[-1] + 1 - at[0]
+        spread = np.zeros((n, WIDTH), np.float32)
+        spread[at - lo] = back
+        near = ids[lo - SIDE : lo + n + SIDE]
+        order = np.argsort(near, kind="stable")
+        rows, starts = np.unique(near[order], return_index=True)
+        for name, sign in (("left", -1), ("right", 1)):
+            moved = np.zeros((n + 2 * SIDE, WIDTH), np.float32)
+            for o in range(1, SIDE + 1):
+                moved[SIDE + sign * o : SIDE + sign * o + n] += spread / np.float32(o)
+            found[name] = (rows, np.add.reduceat(moved[order], starts, axis=0))
+        return found
+
+    def train(self, ids: np.ndarray, at: np.ndarray, target: np.ndarray, slot: np.ndarray, seen: Network) -> None:
         """One Adagrad step on the tokens at places ``at``; ``seen`` holds the squares so far."""
-        h = self.hidden(ids, at)
-        d = np.exp(self.log_probabilities(h))
-        d[np.arange(len(at)), target] -= 1
-        d /= np.float32(len(at))
-        back = d @ self.out.T
-        grad = Network(np.zeros_like(self.flat))
-        grad.out[:], grad.bias[:] = h.T @ d, d.sum(axis=0)
-        for o in range(1, SIDE + 1):
-            np.add.at(grad.left, ids[at - o], back / np.float32(o))
-            np.add.at(grad.right, ids[at + o], back / np.float32(o))
-        seen += grad.flat**2
-        self.flat -= np.float32(RATE) * grad.flat / (np.sqrt(seen) + np.float32(1e-6))
-
-
-def laid_out(texts: list[bytes | None], lex: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Input ids with room around each text; and of each token its place, class, share of the class and text."""
-    get, last = lex["number"].get, Network.rows - 1
-    ids, at, cls, share, owner, base = [np.full(SIDE, last, np.int32)], [], [], [], [], SIDE
-    for k, t in enumerate(texts):
-        words = tokens(t)
-        n = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        new = np.flatnonzero(n < 0)
-        bucket = np.fromiter((zlib.crc32(words[i]) for i in new), np.int64, len(new)) % BUCKETS
-        a, c, s = (np.empty(len(n), x) for x in (np.int32, np.int32, np.float64))
-        if len(lex["classes"]):
-            a[:], c[:], s[:] = lex["inputs"][n], lex["classes"][n], lex["within"][n]
-        a[new], c[new], s[new] = INPUTS + bucket, HEADS + bucket, lex["lone"][HEADS + bucket]
-        ids += [a, np.full(SIDE, last, np.int32)]
-        at.append(np.arange(base, base + len(n)))
-        cls.append(c)
-        share.append(s)
-        owner.append(np.full(len(n), k))
-        base += len(n) + SIDE
-    join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-    return np.concatenate(ids), join(at, np.int64), join(cls, np.int32), join(share, np.float64), join(owner, np.int64)
+        for name, (rows, grad) in self.gradients(ids, at, target, slot).items():
+            squares = getattr(seen, name)
+            squares[rows] += grad * grad
+            getattr(self, name)[rows] -= np.float32(RATE) * grad / np.sqrt(squares[rows])
 
+    def log_probabilities(self, ids: np.ndarray, at: np.ndarray, target: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        def shares(h: np.ndarray, weights: np.ndarray, true: np.ndarray) -> np.ndarray:
+            z, total = _exponentials(h, weights)
+            return np.log(z[np.arange(len(true)), true] / total)
 
-def fit(docs: DataFrame, text: str = "text") -> dict:
-    """``{"lexicon", "flat", "counts"}``: frequent words, trained parameters and the table of all counts."""
-    counts = stored(word_counts(docs, text), "word-counts")
-    lex = lexicon(counts)
-    start = Network.new(lex["mass"])
-    sent = docs.sparkSession.sparkContext.broadcast((lex, start.flat))
+        h = self.hidden(ids, at)
+        lp = shares(h, self.out, target)
+        order, bounds = _by_bucket(target)
+        sorted_h, sorted_slot, more = h[order], slot[order], np.zeros(len(order), np.float32)
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
+            some = slice(bounds[b], bounds[b + 1])
+            more[some] = shares(sorted_h[some], self.inner[b], sorted_slot[some])
+        lp[order] += more
+        return lp
+
+
+def _exponentials(h: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of the logits, which are held within ``FAR`` of zero, and their sums."""
+    z = h @ weights
+    np.clip(z, np.float32(-FAR), np.float32(FAR), out=z)
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], np.float32)
+
+
+def _by_bucket(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of buckets in order of them, and where each bucket's begin."""
+    order = np.argsort(target.astype(np.uint8), kind="stable")
+    bounds = np.searchsorted(target[order], HEADS + np.arange(BUCKETS + 1))
+    return order[bounds[0] :], bounds - bounds[0]
+
+
+def laid_out(codes: np.ndarray, sizes: np.ndarray, lex: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Input ids of texts, with room around each, and the place of each token."""
+    at = np.arange(len(codes)) + SIDE * (1 + np.repeat(np.arange(len(sizes)), sizes))
+    ids = np.full(len(codes) + SIDE * (len(sizes) + 1), Network.rows - 1, np.uint16)
+    ids[at] = lex["inputs"][codes]
+    return ids, at
+
+
+def codes_of(texts: list[bytes | None], lex: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+    """Word numbers of all texts, their sizes, what the own counts of rare words add to each text, and its words whose counts aren't packed.
+
+    A rare word has the number of its bucket, after the lexicon's. A word that isn't packed is taken as one without a count.
+    """
+    get, known = lex["number"].get, len(lex["number"])
+    words = [tokens(t) for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    codes = np.fromiter((get(w, -1) for ws in words for w in ws), np.int32, int(sizes.sum()))
+    new = np.flatnonzero(codes < 0)
+    owner = np.searchsorted(np.cumsum(sizes), new, side="right")
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
+    rare = [words[k][i] for k, i in zip(owner.tolist(), (new - first[owner]).tolist(), strict=True)]
+    h = _hash(rare)
+    bucket = (h % np.uint64(BUCKETS)).astype(np.int64)
+    codes[new] = known + bucket
+    place = np.searchsorted(lex["hashes"], h)
+    place[place == len(lex["hashes"])] = 0
+    hit = lex["hashes"][place] == h if len(lex["hashes"]) else np.zeros(len(h), bool)
+    unheard = _unheard(lex)[bucket]
+    share = np.where(hit, lex["counts"][place] - _of(lex)[bucket], unheard) if len(lex["hashes"]) else unheard
+    lost: list[list[bytes]] = [[] for _ in words]
+    if not lex["whole"]:
+        for k in np.flatnonzero(~hit).tolist():
+            lost[owner[k]].append(rare[k])
+    return codes, sizes, np.bincount(owner, weights=share, minlength=len(words)).astype(float), lost
+
+
+def _of(lex: dict) -> np.ndarray:
+    """Logarithms of how often a bucket's rare words stand in the corpus."""
+    return np.log(np.maximum(lex["mass"][:, 0], 1.0))
+
+
+def _unheard(lex: dict) -> np.ndarray:
+    """What a word without a count takes of its bucket's rare words."""
+    return -np.log(lex["mass"][:, 0] + 2.0)
+
+
+def coded(docs: DataFrame, lex: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A stored table of ``(round, row, doc_id, share, codes, lost)``: whole texts as word numbers."""
+    sent = docs.sparkSession.sparkContext.broadcast(lex)
+    texts = T.ArrayType(T.BinaryType())
+    fields = [("text_key", T.LongType()), ("doc_id", docs.schema[doc_id].dataType), ("share", T.DoubleType()), ("codes", T.ArrayType(T.IntegerType())), ("lost", texts)]
+    schema = T.StructType([T.StructField(*f) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, flat = sent.value
-        net, seen, n = Network(flat.copy()), np.full(len(flat), 1e-4, np.float32), 0
         for b in batches:
             for k in range(0, b.num_rows, 256):
-                ids, at, cls, _, _ = laid_out(byte_values(b.column(0).slice(k, 256)), lex)
+                part = b.slice(k, 256)
+                codes, sizes, share, lost = codes_of(byte_values(part.column(2)), sent.value)
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(codes))
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(share), lists, pa.array(lost, pa.list_(pa.binary()))], names=schema.names)
+
+    whole = F.col(text).cast("string")
+    found = docs.select(F.xxhash64(whole).alias("text_key"), F.col(doc_id).alias("doc_id"), whole.alias("text")).mapInArrow(run, schema)
+    found = found.withColumn("round", F.pmod("text_key", F.lit(ROUNDS)).cast("int")).withColumn("row", F.monotonically_increasing_id())
+    return stored(found.select("round", "row", "doc_id", "share", "codes", "lost"), "codes", "round")
+
+
+def _batches(batches: Iterator[pa.RecordBatch], column: int, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of batches with their codes and sizes."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            part = b.slice(k, rows)
+            yield part, part.column(column).flatten().to_numpy(), part.column(column).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def train(codes: DataFrame, lex: dict) -> np.ndarray:
+    """Parameters after ``ROUNDS`` averaged rounds over the rows of ``coded``."""
+    small = {k: lex[k] for k in ("classes", "inputs", "slots")}
+    net = Network.new(lex)
+    flat, places = net.flat.astype(np.float64), net.places
+    for k in range(ROUNDS):
+        sent = codes.sparkSession.sparkContext.broadcast((small, flat.astype(np.float32)))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            lex, start = sent.value
+            net, seen, n = Network(start.copy(), places), Network(np.full(len(start), FIRST * FIRST, np.float32), places), 0
+            for _, found, sizes in _batches(batches, 0):
+                ids, at = laid_out(found, sizes, lex)
+                target, slot = lex["classes"][found], lex["slots"][found]
                 for s in range(0, len(at), STEP):
-                    net.train(ids, at[s : s + STEP], cls[s : s + STEP], seen)
+                    some = slice(s, s + STEP)
+                    net.train(ids, at[some], target[some], slot[some], seen)
                 n += len(at)
-        moved = net.flat.astype(np.float64) - flat
-        where = np.flatnonzero(moved)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(where, -1).astype(np.int32)), pa.array(np.append(moved[where] * n, n))], names=["i", "v"])
-
-    got = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # a row a parameter
-    i, v = got["i"].to_numpy(), got["v"].to_numpy()
-    total = max(1.0, float(v[i < 0].sum()))
-    flat = start.flat.astype(np.float64)
-    flat[i[i >= 0]] += v[i >= 0] / total
-    return {"lexicon": lex, "flat": flat.astype(np.float32), "counts": counts}
-
-
-def pseudo_likelihoods(texts: list[bytes | None], model: dict, net: Network) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and summed log-probabilities of whole texts."""
-    ids, at, cls, share, owner = laid_out(texts, model["lexicon"])
-    lp = np.empty(len(at))
+            where = np.flatnonzero(net.flat != start)
+            moved = net.flat[where].astype(np.float64) - start[where]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(where, -1).astype(np.int32)), pa.array(np.append(moved * n, n))], names=["i", "v"])
+
+        got = codes.where(F.col("round") == k).select("codes").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # a row a parameter
+        i, v = got["i"].to_numpy(), got["v"].to_numpy()
+        flat[i[i >= 0]] += v[i >= 0] / max(1.0, float(v[i < 0].sum()))
+        sent.unpersist()
+    return flat.astype(np.float32)
+
+
+def fit(docs: DataFrame, text: str = "text") -> dict:
+    """``{"lexicon", "flat", "counts", "codes"}``: words, trained parameters, the table of all counts and that of the texts as numbers."""
+    counts = stored(word_counts(docs, text), "word-counts")
+    lex = lexicon(counts)
+    codes = coded(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text")), lex)
+    return {"lexicon": lex, "flat": train(codes, lex), "counts": counts}
+
+
+def fit_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``score(docs, fit(docs))``; texts are cut into words once."""
+    counts = stored(word_counts(docs, text), "word-counts")
+    lex = lexicon(counts)
+    codes = coded(docs, lex, doc_id, text)
+    return _scored(codes, {"lexicon": lex, "flat": train(codes, lex), "counts": counts})
+
+
+def pseudo_likelihoods(codes: np.ndarray, sizes: np.ndarray, lex: dict, net: Network) -> np.ndarray:
+    """Summed log-probabilities of whole texts, those within the rare words of a bucket left out."""
+    ids, at = laid_out(codes, sizes, lex)
+    target, slot, lp = lex["classes"][codes], lex["slots"][codes], np.empty(len(at))
     for s in range(0, len(at), SLICE):
         some = slice(s, s + SLICE)
-        z = net.log_probabilities(net.hidden(ids, at[some]))
-        lp[some] = z[np.arange(len(z)), cls[some]] + share[some]
-    return np.bincount(owner, minlength=len(texts)), np.bincount(owner, weights=lp, minlength=len(texts)).astype(float)
+        lp[some] = net.log_probabilities(ids, at[some], target[some], slot[some])
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=lp, minlength=len(sizes)).astype(float)
 
 
 def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, log_likelihood, mean_log_likelihood)``, a row per row of ``docs``."""
+    return _scored(coded(docs, model["lexicon"], doc_id, text), model)
+
+
+def _scored(codes: DataFrame, model: dict) -> DataFrame:
     lex = model["lexicon"]
-    sent = docs.sparkSession.sparkContext.broadcast({"lexicon": lex, "flat": model["flat"]})
+    small = {k: lex[k] for k in ("classes", "inputs", "slots")}
+    places = lex["mass"].shape[1]
+    sent = codes.sparkSession.sparkContext.broadcast((small, model["flat"]))
+    fields = [("row", T.LongType()), ("doc_id", codes.schema["doc_id"].dataType), ("n_tokens", T.LongType()), ("lp", T.DoubleType())]
+    schema = T.StructType([T.StructField(*f) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, number = Network(sent.value["flat"]), sent.value["lexicon"]["number"]
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                texts = byte_values(part.column(1))
-                n, lp = pseudo_likelihoods(texts, sent.value, net)
-                rare = pa.array([[w for w in tokens(t) if w not in number] for t in texts], pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(lp), rare], names=schema.names)
-
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("lp", T.DoubleType()), T.StructField("rare", T.ArrayType(T.BinaryType()))])
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
-    found = stored(found.withColumn("row", F.monotonically_increasing_id()), "scored")  # numbers are fixed once written
-    bucket = (F.crc32("word") % BUCKETS).cast("int")
-    given = F.array(*[F.lit(float(math.log(max(m, 1.0)) + s)) for m, s in zip(lex["mass"][HEADS:], lex["lone"][HEADS:], strict=True)])
-    own = found.select("row", F.explode("rare").alias("word")).withColumn("word", F.col("word").cast("string")).join(model["counts"], "word")
-    own = own.groupBy("row").agg(F.sum(F.log("n") - F.element_at(given, bucket + 1)).alias("own"))
-    total = F.col("lp") + F.coalesce("own", F.lit(0.0))
+        lex, flat = sent.value
+        net = Network(flat, places)
+        for part, found, sizes in _batches(batches, 3):
+            lp = pseudo_likelihoods(found, sizes, lex, net) + part.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(sizes), pa.array(lp)], names=schema.names)
+
+    found = codes.select("row", "doc_id", "share", "codes").mapInArrow(run, schema)
+    total = F.col("lp")
+    if not lex["whole"]:  # counts beyond the bound come to their documents by a join
+        bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")
+        less = F.array(*[F.lit(float(x)) for x in _of(lex) + _unheard(lex)])
+        own = codes.select("row", F.explode("lost").alias("word")).withColumn("word", F.col("word").cast("string")).join(model["counts"], "word")
+        own = own.groupBy("row").agg(F.sum(F.log("n") - F.element_at(less, bucket + 1)).alias("own"))
+        found, total = found.join(own, "row", "left"), F.col("lp") + F.coalesce("own", F.lit(0.0))
     mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
-    return found.select("row", "doc_id", "n_tokens", "lp").join(own, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"), mean.alias("mean_log_likelihood"))
+    return found.select("doc_id", "n_tokens", total.alias("log_likelihood"), mean.alias("mean_log_likelihood"))

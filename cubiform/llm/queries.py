@@ -33,8 +33,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lmscore.score(docs, lmscore.fit(docs))
+    return lmscore.fit_and_score(table(spark, sf_dir, "documents"))
 
 
 def op4_embeddup(spark: SparkSession, sf_dir: str) -> DataFrame:

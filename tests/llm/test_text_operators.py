@@ -119,29 +119,110 @@ def test_proximity_allows_slop(spark):
 # -- LM scoring
 
 
-def test_lm_scores_equal_token_by_token(spark):
-    table = corpus(spark)
-    model = lmscore.fit(table)
-    lex, net = model["lexicon"], lmscore.Network(model["flat"])
-    text = b"the of une ZZZ le la unknown"
-    n, got = lmscore.pseudo_likelihoods([b"other text", text, None, b""], model, net)
-    words = lmscore.tokens(text)
-    ids, pad = [], lmscore.Network.rows - 1
-    for w in words:
-        k = lex["number"].get(w)
-        ids.append(int(lex["inputs"][k]) if k is not None else lmscore.INPUTS + zlib.crc32(w) % lmscore.BUCKETS)
-    total, around = 0.0, lambda k: ids[k] if 0 <= k < len(ids) else pad
+def by_hand(text, lex, net, counts):
+    """The score of one text, token by token."""
+    words, known = lmscore.tokens(text), len(lex["number"])
+    bucket = lambda w: int(lmscore._hash([w])[0] % lmscore.BUCKETS)
+    codes = [lex["number"].get(w, known + bucket(w)) for w in words]
+    around = lambda k: int(lex["inputs"][codes[k]]) if 0 <= k < len(codes) else lmscore.Network.rows - 1
+    share = lambda z: z - np.log(np.exp(z).sum())
+    total = 0.0
     for t, w in enumerate(words):
-        h = sum((net.left[around(t - o)] + net.right[around(t + o)]) / o for o in range(1, lmscore.SIDE + 1))
-        z = h @ net.out + net.bias
-        z = z - np.log(np.exp(z).sum())
-        k = lex["number"].get(w)
-        c = int(lex["classes"][k]) if k is not None else lmscore.HEADS + zlib.crc32(w) % lmscore.BUCKETS
-        total += float(z[c]) + (float(lex["within"][k]) if k is not None else float(lex["lone"][c]))
-    assert n.tolist() == [2, 7, 0, 0] and got[2] == got[3] == 0
-    assert got[1] == pytest.approx(total, rel=1e-5)
-    counts = Counter(w for r in table.collect() for w in r.text.split())
-    assert {r.word: r.n for r in lmscore.word_counts(table).collect()} == counts
+        h = np.append(sum((net.left[around(t - o)] + net.right[around(t + o)]) / o for o in range(1, lmscore.SIDE + 1)), 1.0)
+        c = int(lex["classes"][codes[t]])
+        total += share(h @ net.out)[c]
+        if c >= lmscore.HEADS:
+            total += share(h @ net.inner[c - lmscore.HEADS])[lex["slots"][codes[t]]]
+        if codes[t] >= known:
+            rare = lex["mass"][bucket(w), 0]
+            total += np.log(counts[w] / rare) if counts.get(w) else -np.log(rare + 2)
+    return len(words), total
+
+
+@pytest.mark.parametrize(("named", "packed"), [(8192, 1 << 20), (70, 1 << 20), (70, 12 * 300), (70, 0)])
+def test_lm_scores_equal_token_by_token(spark, monkeypatch, named, packed):
+    monkeypatch.setattr(lmscore, "LEXICON", named)
+    monkeypatch.setattr(lmscore, "PACKED_BYTES", packed)
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(rng.choices(words, [1 / (j + 1) for j in range(400)], k=50)), "en", "s") for k in range(200)]
+    rows += [(1000, "w399 w1 unheard", "en", "s"), (None, "W398 w398 " + "x" * 300, "en", "s"), (1000, None, "en", "s"), (1001, "", "en", "s")]
+    table = docs(spark, rows)
+    seen = table.where("doc_id IS NULL OR doc_id <> 1000")
+    model = lmscore.fit(seen)
+    lex = model["lexicon"]
+    net = lmscore.Network(model["flat"], lex["mass"].shape[1])
+    counts = Counter(w for r in rows if r[0] != 1000 for w in (r[1] or "").encode().lower().split())
+    assert {r.word.encode(): r.n for r in lmscore.word_counts(seen).collect()} == counts and len(lex["number"]) <= named
+    got = sorted(((str(r.doc_id), r.n_tokens, r.log_likelihood) for r in lmscore.score(table, model).collect()))
+    want = sorted((str(r[0]), *by_hand((r[1] or "").encode(), lex, net, counts)) for r in rows)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=2e-3)
+    assert lmscore.fit_and_score(table).count() == len(rows)
+
+
+def small_lm(words=500):
+    """A lexicon and a network with random weights, texts of the lexicon's words."""
+    rng = np.random.default_rng(6)
+    named = [f"v{k}".encode() for k in range(words)]
+    bucket = (lmscore._hash(named) % np.uint64(lmscore.BUCKETS)).astype(int)
+    slot = np.array([1 + int((bucket[lmscore.HEADS : k] == bucket[k]).sum()) if k >= lmscore.HEADS else 0 for k in range(words)] + [0] * lmscore.BUCKETS)
+    mass = np.full((lmscore.BUCKETS, slot.max() + 1), -1.0)
+    mass[:, 0] = 3
+    mass[bucket[lmscore.HEADS :], slot[lmscore.HEADS : words]] = 5
+    inputs = np.append(np.arange(words), lmscore.INPUTS + np.arange(lmscore.BUCKETS)).astype(np.uint16)
+    classes = np.concatenate([np.arange(lmscore.HEADS), lmscore.HEADS + bucket[lmscore.HEADS :], lmscore.HEADS + np.arange(lmscore.BUCKETS)])
+    lex = {"number": {w: k for k, w in enumerate(named)}, "classes": classes, "inputs": inputs, "slots": slot, "heads": np.full(lmscore.HEADS, 50.0), "mass": mass, "hashes": np.empty(0, np.uint64), "counts": np.empty(0, np.float32), "whole": True}
+    net = lmscore.Network.new(lex)
+    net.out += rng.normal(0, 0.3, net.out.shape).astype(np.float32)
+    net.inner += rng.normal(0, 0.3, net.inner.shape).astype(np.float32)
+    return lex, net, rng.integers(0, words + lmscore.BUCKETS, 300), np.array([0, 120, 1, 0, 179])
+
+
+def test_lm_probabilities_sum_to_one():
+    lex, net, codes, sizes = small_lm()
+    ids, at = lmscore.laid_out(codes, sizes, lex)
+    spot, total = at[60:61], 0.0
+    for code in range(len(lex["classes"])):
+        total += float(np.exp(net.log_probabilities(ids, spot, lex["classes"][[code]], lex["slots"][[code]]))[0])
+    assert total == pytest.approx(1.0, abs=1e-4)
+
+
+def test_lm_gradients_are_finite_differences():
+    lex, net, codes, sizes = small_lm()
+    ids, at = lmscore.laid_out(codes, sizes, lex)
+    args = (ids, at, lex["classes"][codes], lex["slots"][codes])
+    loss = lambda: -float(net.log_probabilities(*args).astype(np.float64).mean())
+    rng = np.random.default_rng(1)
+    for name, (rows, grad) in net.gradients(*args).items():
+        whole = np.zeros(getattr(net, name).shape)
+        whole[rows] = grad
+        flat, table = whole.ravel(), getattr(net, name).reshape(-1)
+        for k in [*np.argsort(-np.abs(flat))[:6], *rng.integers(0, len(flat), 4)]:
+            before, step = table[k], np.float32(0.02)
+            table[k] = before + step
+            up = loss()
+            table[k] = before - step
+            slope, table[k] = (up - loss()) / (2 * step), before
+            assert slope == pytest.approx(flat[k], abs=2e-4, rel=0.02), (name, k)
+
+
+def test_lm_beats_the_unigram_model_on_held_out_texts(spark):
+    rng = random.Random(11)
+    follow = {k: rng.sample(range(300), 3) for k in range(300)}
+
+    def text():
+        now, out = rng.randrange(300), []
+        for _ in range(60):
+            now = rng.choice(follow[now])
+            out.append(f"t{now}")
+        return " ".join(out)
+
+    rows = [(k, text(), "en", "s") for k in range(2500)]
+    model = lmscore.fit(docs(spark, rows[:2000]))
+    start = {**model, "flat": lmscore.Network.new(model["lexicon"]).flat}
+    mean = [np.mean([r.mean_log_likelihood for r in lmscore.score(docs(spark, rows[2000:]), m).collect()]) for m in (start, model)]
+    assert mean[1] > mean[0] + 0.2
 
 
 def test_lm_prefers_the_corpus_and_survives_odd_rows(spark):
