@@ -43,9 +43,9 @@ from .components import components
 from .simhash import forest
 
 #: Nodes a shard is meant to be home to, most shards, vectors that centroids are fitted on and their bytes, members of the largest shard for one task.
-SHARD, MAX_SHARDS, SAMPLE, SAMPLE_BYTES, LARGE = 2048, 4096, 65536, 1 << 26, 16384
+SHARD, MAX_SHARDS, SAMPLE, SAMPLE_BYTES, LARGE = 2048, 4096, 65536, 1 << 26, 32768
 #: Copies of a vector that overlaps may make on average, nodes compared with all vectors, and the share of their links that must be found.
-COPIES, AUDIT, RECALL = 16.0, 512, 0.99
+COPIES, AUDIT, RECALL = 4.0, 512, 0.99
 #: Candidates, degree, far nodes and distance ratio of robust pruning; width of the beam; how far below the threshold a range goes on.
 CANDIDATES, DEGREE, FAR, ALPHA, BEAM, SLACK = 48, 24, 2, 1.2, 24, 0.1
 #: Queries searched at a time, and queries of a shard that are audited.

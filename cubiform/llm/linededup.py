@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import maybe_broadcast, stored
 
 #: Sites on which a line counts as boilerplate, its least characters, and the sketch's log2 of registers.
-MIN_SITES, MIN_CHARS, LG_K = 10, 20, 12
+MIN_SITES, MIN_CHARS, LG_K = 3, 20, 12
 KEY = ["h1", "h2"]
 ROW = ["doc_id", "text_key"]
 

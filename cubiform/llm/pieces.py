@@ -468,7 +468,7 @@ def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
     got = few.select(F.xxhash64("word").alias("h"), "ids").toArrow()
     packed = Packed(got["h"].to_numpy().astype(np.int64).view(np.uint64), got["ids"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32())))
     del got
-    sent, names = spark.sparkContext.broadcast(packed), spark.sparkContext.broadcast(pieces.names)
+    sent, names = spark.sparkContext.broadcast(packed), spark.sparkContext.broadcast(Names(pieces.names))
     cut, parts = pieces.cutter(), pieces.parts
     rows = docs
     if not whole:  # parts beyond the bound come to their documents by a join
@@ -509,23 +509,43 @@ def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
                 starts = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), mask=np.append([x is None for x in out], False))
                 columns = [*part.columns[:width], pa.ListArray.from_arrays(starts, pa.array(flat))]
                 if verify:
-                    same = [t is None or decode_ids(x.tolist(), names.value) == t.replace(SPACE, " ").encode() for t, x in zip(texts, out, strict=True)]
+                    same = [t is None or x == t.replace(SPACE, " ").encode() for t, x in zip(texts, names.value.texts(flat, size), strict=True)]
                     columns.append(pa.array(same, pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def decode_ids(ids: list[int] | np.ndarray, names: list[bytes]) -> bytes:
-    """The text of ids, as UTF-8: pieces joined, markers back to spaces, the dummy prefix off."""
-    text = b"".join([names[i] for i in ids]).replace(SPACE.encode(), b" ")
-    return text[1:] if text[:1] == b" " else text
+class Names:
+    """What ids decode to, as one run of bytes: markers are spaces already."""
+
+    def __init__(self, names: list[bytes], step: int = 1 << 17):
+        plain = [n.replace(SPACE.encode(), b" ") for n in names]
+        self.sizes, self.step = np.fromiter(map(len, plain), np.int64, len(plain)), step
+        self.starts, self.bytes = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(plain), np.uint8)
+
+    def text(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids, the dummy prefix included."""
+        out = []
+        for k in range(0, len(ids), self.step):
+            some = ids[k : k + self.step]
+            n = self.sizes[some]
+            at = np.repeat(self.starts[some] - (np.cumsum(n) - n), n)
+            at += np.arange(len(at))
+            out.append(self.bytes[at].tobytes())
+        return b"".join(out)
+
+    def texts(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The UTF-8 of each of several texts, whose ids follow each other: pieces joined, the dummy prefix off."""
+        whole, length = self.text(ids), np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        ends = length[np.cumsum(sizes)].tolist()
+        return [whole[a + (whole[a : min(a + 1, b)] == b" ") : b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def decode(coded: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``coded`` with the text of its ids; bytes that are no UTF-8 come out as U+FFFD."""
     coded = coded.drop(out)
-    sent = coded.sparkSession.sparkContext.broadcast(pieces.names)
+    sent = coded.sparkSession.sparkContext.broadcast(Names(pieces.names))
     schema = T.StructType([*coded.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -533,7 +553,8 @@ def decode(coded: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "decod
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 column = part.column(part.num_columns - 1)
-                texts = [None if not x.is_valid else decode_ids(x.values.to_numpy().tolist(), sent.value).decode("utf-8", "replace") for x in column]
+                size = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+                texts = [t.decode("utf-8", "replace") if x.is_valid else None for t, x in zip(sent.value.texts(column.flatten().to_numpy(), size), column, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
 
     return coded.select("*", F.col(ids).alias("__ids")).mapInArrow(run, schema)

@@ -42,7 +42,7 @@ def op4_embeddup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encoded_documents(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_ids", F.crc32(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids_crc32"), "round_trip")
+    return found.select("doc_id", "n_ids", F.when(F.col("ids").isNotNull(), F.xxhash64("ids")).alias("ids_hash"), "round_trip")
 
 
 def encoded_documents(docs: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ ORACLES: dict[str, str] = {
         WITH c AS (SELECT doc_id, coalesce(source, '') AS site, string_split(text, chr(10)) AS ls FROM documents),
         l AS (SELECT doc_id, site, unnest(ls) AS raw, generate_subscripts(ls, 1) AS place FROM c),
         t AS (SELECT *, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l),
-        b AS (SELECT line, min({'d': doc_id, 'p': place}) AS keep FROM t WHERE length(line) >= 20 GROUP BY line HAVING count(DISTINCT site) >= 10),
+        b AS (SELECT line, min({'d': doc_id, 'p': place}) AS keep FROM t WHERE length(line) >= 20 GROUP BY line HAVING count(DISTINCT site) >= 3),
         g AS (SELECT t.*, b.line IS NOT NULL AND keep <> {'d': doc_id, 'p': place} AS gone FROM t LEFT JOIN b USING (line)),
         r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
                      coalesce(array_to_string(list(raw ORDER BY place) FILTER (WHERE NOT gone), chr(10)), '') AS kept FROM g GROUP BY doc_id)

@@ -133,15 +133,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = group.groupBy("component").agg(F.min("first").alias("component_id"))
     named = group.join(least, "component").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id names their group: one document of each group stays.
-
-    Rows that repeat a kept id are one document: one of them stays.
-    """
-    found = stored(near_duplicates(docs, doc_id, text, radius), "near")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    keep = keep.select(F.col("doc_id").alias("__kept_id"), F.col("n").alias("__kept_n"))
-    kept = docs.join(keep, F.col(doc_id).eqNullSafe(F.col("__kept_id")), "left_semi")
-    return kept.dropDuplicates([doc_id]) if keep.where("__kept_n > 1").limit(1).count() else kept
