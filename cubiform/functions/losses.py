@@ -121,12 +121,22 @@ def primal_feasibility(marginals: Cliques) -> float:
 
 
 def estimated_total(measurements: Sequence[Measurement]) -> float:
-    """Inverse-variance mean of the sums of unweighted measurements, at least 1."""
-    sums = [(m.y.sum(), m.stddev**2 * len(m.y)) for m in measurements if m.matrix is None]
-    if not sums:
-        return 1.0
-    weight = [1 / v for _, v in sums]
-    return max(1.0, float(sum(w * s for w, (s, _) in zip(weight, sums, strict=True)) / sum(weight)))
+    """Inverse-variance mean of the totals that measurements tell, at least 1.
+
+    A query tells the total if some weights of its rows add up to one for every cell: for a marginal itself, one for
+    each cell; else the shortest such weights, by least squares.
+    """
+    told, precision = 0.0, 0.0
+    for m in measurements:
+        rows = np.ones(len(m.y))
+        if m.matrix is not None and not np.allclose(m.matrix.sum(axis=0), 1):
+            rows = np.linalg.lstsq(m.matrix.T, np.ones(m.matrix.shape[1]), rcond=None)[0]
+            if not np.allclose(m.matrix.T @ rows, 1):
+                continue
+        spread = m.stddev**2 * float(rows @ rows)
+        if spread > 0:
+            told, precision = told + float(rows @ m.y) / spread, precision + 1 / spread
+    return max(1.0, told / precision) if precision else 1.0
 
 
 def total_estimate(answers: DataFrame, headers: DataFrame) -> DataFrame:

@@ -15,41 +15,73 @@ from .noise import exponential, gumbel
 
 
 def delta_standard(rho: float, eps: float) -> float:
-    """The usual tail bound of rho-zCDP."""
+    """The usual tail bound of rho-zCDP; nothing leaks at rho 0."""
+    if rho <= 0:
+        return 0.0
     return math.exp(-((eps - rho) ** 2) / (4 * rho)) if eps > rho else 1.0
 
 
-def _bisect(f: Callable[[float], bool], low: float, high: float, steps: int = 1000) -> tuple[float, float]:
-    """Ends of a bracket shrunk around where ``f`` turns from true to false."""
-    for _ in range(steps):
-        mid = (low + high) / 2
-        if mid in (low, high):
+def best_order(rho: float, eps: float) -> tuple[float, float]:
+    """The Renyi order a with the least bound on delta, as a - 1, and the logarithm of that bound.
+
+    The bound's logarithm is (a - 1)(a rho - eps) + a log(1 - 1/a) - log(a - 1). Its slope
+    (2a - 1) rho - eps + log(1 - 1/a) rises and is concave, so Newton steps from below never pass the root.
+    Replacing log(1 - 1/a) by -1/a, which is larger, gives a quadratic whose root lies below.
+    """
+    linear = 3 * rho - eps
+    u = (math.sqrt(linear**2 + 8 * rho * max(0.0, eps + 1 - rho)) - linear) / (4 * rho)
+    u = max(u, 1e-12)
+    for _ in range(200):
+        slope = (2 * u + 1) * rho - eps - math.log1p(1 / u)
+        step = -slope / (2 * rho + 1 / (u * (u + 1)))
+        if not u + step > u:
             break
-        low, high = (mid, high) if f(mid) else (low, mid)
-    return low, high
+        u += step
+    return u, u * ((u + 1) * rho - eps) - (u + 1) * math.log1p(1 / u) - math.log(u)
 
 
 def delta_of(rho: float, eps: float) -> float:
     """Smallest delta that the best Renyi order gives rho-zCDP at ``eps``."""
-    if rho == 0:
-        return 0.0
-    slope = lambda a: (2 * a - 1) * rho - eps + math.log1p(-1 / a) < 0
-    low, high = _bisect(slope, 1.01, (eps + 1) / (2 * rho) + 2)
-    a = (low + high) / 2
-    return min(1.0, math.exp((a - 1) * (a * rho - eps) + a * math.log1p(-1 / a)) / (a - 1))
+    return 0.0 if rho <= 0 else min(1.0, math.exp(min(0.0, best_order(rho, eps)[1])))
 
 
 def eps_of(rho: float, delta: float) -> float:
-    """Smallest epsilon of rho-zCDP at ``delta``."""
-    if delta >= 1 or rho == 0:
+    """Smallest epsilon of rho-zCDP at ``delta``.
+
+    The logarithm of delta is a least of lines in epsilon, of slopes 1 - a, so it is concave: Newton steps from the
+    tail bound's epsilon, which is enough, go down and stay enough.
+    """
+    if delta >= 1 or rho <= 0:
         return 0.0
-    top = rho + 2 * math.sqrt(rho * math.log(1 / delta))
-    return _bisect(lambda e: delta_of(rho, e) > delta, 0.0, top)[1]
+    goal, eps = math.log(delta), rho + 2 * math.sqrt(-rho * math.log(delta))
+    for _ in range(200):
+        u, log_delta = best_order(rho, eps)
+        lower = eps - (goal - log_delta) / u
+        if lower <= 0:
+            return 0.0
+        if not lower < eps:
+            break
+        eps = lower
+    return eps
 
 
 def rho_of(eps: float, delta: float) -> float:
-    """Largest rho whose zCDP implies (eps, delta)."""
-    return 0.0 if delta >= 1 else _bisect(lambda r: delta_of(r, eps) <= delta, 0.0, eps + 1)[0]
+    """Largest rho whose zCDP implies (eps, delta).
+
+    In rho the logarithm of delta is a least of lines of slopes a (a - 1): Newton steps from the tail bound's rho,
+    which is allowed, go up and stay allowed.
+    """
+    if delta >= 1 or eps <= 0:
+        return 0.0
+    goal = math.log(delta)
+    rho = (math.sqrt(eps - goal) - math.sqrt(-goal)) ** 2
+    for _ in range(200):
+        u, log_delta = best_order(rho, eps)
+        higher = rho + (goal - log_delta) / (u * (u + 1))
+        if not higher > rho:
+            break
+        rho = higher
+    return rho
 
 
 class Ledger:
@@ -95,7 +127,10 @@ def gaussian_scale(eps: float, delta: float, l2_sensitivity: float, bounded: boo
     high = size
     while loose(high):
         high *= 2
-    return _bisect(loose, high * 1e-9, high, 200)[1]
+    low = high * 1e-9
+    while low < (mid := (low + high) / 2) < high:
+        low, high = (mid, high) if loose(mid) else (low, mid)
+    return high
 
 
 def best_noise(eps: float, delta: float, l1: float, l2: float, bounded: bool = False) -> tuple[str, float]:

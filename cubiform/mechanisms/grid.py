@@ -51,7 +51,8 @@ class AdaptiveGrid(Mechanism):
         matrix, fine = self.query(schema, clique)
         self.ledger.gaussian(sigma, 1.0, f"grid on {clique}")
         y = self.gaussian(matrix @ answers[clique], sigma)
-        self.measurements.append(Measurement(y, clique, sigma, matrix))
+        alone = fine == len(matrix) == matrix.shape[1]  # the marginal itself
+        self.measurements.append(Measurement(y, clique, sigma, None if alone else matrix))
         seen = matrix[:fine].T @ y[:fine] >= sigma * self.threshold
         self.plausible[clique] = Factor(schema.project(clique), seen.astype(float))
         self.matrices[clique] = matrix

@@ -58,20 +58,26 @@ def greedy_order(schema: Schema, cliques: Iterable[Clique], rng: random.Random |
     the next attribute is drawn with weight ``highest cost - own cost + 1``.
     """
     left = list(schema.canonical(eliminate) if eliminate is not None else schema.attrs)
-    open_: set[frozenset[str]] = {frozenset(c) for c in cliques}
+    beside: dict[str, set[str]] = {}
+    for c in cliques:
+        for a in c:
+            beside.setdefault(a, set()).update(c)  # each attribute is beside itself
+    price = {a: schema.size(tuple(beside.get(a, ()))) for a in left}
     order, total = [], 0
     while left:
-        around = {a: frozenset(chain.from_iterable(c for c in open_ if a in c)) for a in left}
-        cost = {a: schema.size(around[a]) for a in left}
         if rng is None:
-            pick = min(left, key=cost.__getitem__)
+            pick = min(left, key=price.__getitem__)
         else:
-            top = max(cost.values())
-            pick = rng.choices(left, weights=[top - cost[a] + 1 for a in left])[0]
+            dearest = max(price[a] for a in left)
+            pick = rng.choices(left, weights=[1 + dearest - price[a] for a in left])[0]
         order.append(pick)
-        total += cost[pick]
-        open_ = {c for c in open_ if pick not in c} | {around[pick] - {pick}}
         left.remove(pick)
+        total += price.pop(pick)
+        met = beside.pop(pick, set()) - {pick}
+        for a in met:  # what is left of its neighbourhood is joined; no other neighbourhood changes
+            beside[a] = (beside[a] | met) - {pick}
+            if a in price:
+                price[a] = schema.size(tuple(beside[a]))
     return order, total
 
 
