@@ -53,7 +53,7 @@ class Mixture:
             cum = pa.table({"component": np.arange(len(t), dtype=np.int32), "ends": pa.array(np.cumsum(t, axis=1).tolist())})
             df = df.join(F.broadcast(spark.createDataFrame(cum)), "component")  # a row per component
             u = uniform(f"{seed}:{a}", F.col("id"))
-            code = F.least(F.size(F.filter("ends", lambda e, u=u: e <= u)), F.lit(self.schema[a] - 1))
+            code = F.least(F.size(F.filter("ends", lambda e: e <= u)), F.lit(self.schema[a] - 1))  # noqa: B023
             df = df.withColumn(a, code.cast("int")).drop("ends")
         return df.select(*[F.col(f"`{a}`").alias(a, metadata={"cardinality": s}) for a, s in self.schema.config.items()])
 
