@@ -37,7 +37,8 @@ def op3_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_embeddup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+    found = embeddup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+    return found.select("vec_id", "n_links", "component_id", "kept")
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +110,16 @@ ORACLES: dict[str, str] = {
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
     """,
+    "op4_embeddup": """
+        WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE len(embedding) > 0),
+        s AS (SELECT * FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+        l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+        r(a, b) AS (SELECT vec_id, vec_id FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a, min(b) AS low FROM r GROUP BY a),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(c.low, vec_id) AS component_id, vec_id = coalesce(c.low, vec_id) AS kept
+        FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+    """,
     "op9_linededup": """
         WITH c AS (SELECT doc_id, coalesce(source, '') AS site, string_split(text, chr(10)) AS ls FROM documents),
         l AS (SELECT doc_id, site, unnest(ls) AS raw, generate_subscripts(ls, 1) AS place FROM c),

@@ -27,8 +27,11 @@ def _bytes(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
-def write_archive(pages: DataFrame, path: str | None = None, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = MIN_BYTES) -> str:
-    """Write ``payloads`` and ``records`` below ``path`` (by default a fresh shared path), which is returned."""
+def write_archive(pages: DataFrame, path: str | None = None, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = MIN_BYTES, date: str = "2000-01-01T00:00:00Z") -> str:
+    """Write ``payloads`` and ``records`` below ``path`` (by default a fresh shared path), which is returned.
+
+    ``date`` is every record's WARC-Date: pages have no time of capture, and a second run writes the same bytes.
+    """
     spark = pages.sparkSession
     path = path or shared_path(spark, "warc")
     named = pages.select(
@@ -48,7 +51,7 @@ def write_archive(pages: DataFrame, path: str | None = None, page_id: str = "pag
     http = F.concat(F.lit(_HTTP), F.col("length").cast("string"), F.lit("\r\n\r\n"))
     block = F.octet_length(http.cast("binary")) + F.when(revisit, F.lit(0)).otherwise(F.col("length"))
     lines = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Record-ID: "), urn("page_id"), target("WARC-Target-URI"),
+        F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Record-ID: "), urn("page_id"), F.lit(f"\r\nWARC-Date: {date}"), target("WARC-Target-URI"),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("sha1"), F.lit("\r\nWARC-Block-Store: sha256:"), F.col("digest"),
         F.when(revisit, F.concat(
             F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "),
