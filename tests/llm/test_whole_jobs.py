@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from cubiform.llm import lmscore, shingles
@@ -51,6 +52,21 @@ def test_pipeline_keeps_one_of_planted_near_copies(spark, monkeypatch, sampled):
     assert corpus_pipeline.near_dedup(spark, empty(spark), "").count() == 0
 
 
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(2**63), 2**63, 5000)
+    sets = [base[:k] for k in (0, 1, 2, 40, 400, 5000)] + [np.union1d(rng.choice(base, k, False), rng.integers(-(2**63), 2**63, j)) for k, j in ((30, 3), (300, 200), (4000, 9), (4999, 0))]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    bits = shingles.sketches(owner, np.concatenate(sets), len(sets))
+    assert bits.shape == (len(sets), shingles.BITS // 64) and not bits[0].any()
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            differ = int(np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)).sum())
+            apart = len(np.setxor1d(x, y))
+            assert differ <= apart and differ % 2 == apart % 2
+    assert shingles.sketches(np.empty(0, int), np.empty(0, np.int64), 0).shape[0] == 0
+
+
 # -- LM scoring
 
 
