@@ -122,7 +122,7 @@ class TokenFile:
         return None if k < self.nulls else self._signed(self.keys.select(k - self.nulls))[0]
 
     def _signed(self, v: np.ndarray) -> list[int]:
-        return [int(x) + self.base for x in v]
+        return (v + np.int64(self.base)).tolist()  # modulo 2**64, as ids in one file may lie further apart than 2**63
 
     def doc_ids(self) -> list[int | None]:
         return [None] * self.nulls + self._signed(self.keys.select(np.arange(self.n - self.nulls)))

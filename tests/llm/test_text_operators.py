@@ -338,6 +338,14 @@ def test_token_files_equal_the_library(spark):
     assert tokenfiles.read_files(spark, tokenfiles.write_files(empty(spark), path)).count() == 0
 
 
+def test_token_files_take_ids_far_apart(spark):
+    ids = [-(2**63), -8 * 10**18, 0, 5, 8 * 10**18, 2**63 - 1]
+    assert tokenfiles.TokenFile(tokenfiles.pack_file([None, *ids], [0] * 7, [], 2)).doc_ids() == [None, *ids]
+    rows = [(k, f"text {j}", "en", "s") for j, k in enumerate(ids)]
+    out = tokenfiles.write_files(docs(spark, rows).coalesce(1), tokenizer_path("word_bpe_49k.json"))
+    assert [r.doc_id for r in tokenfiles.read_files(spark, out).orderBy("start").collect()] == ids
+
+
 def test_encoder_beyond_its_memory():
     with open(tokenizer_path("word_bpe_49k.json"), "rb") as f:
         spec = f.read()
