@@ -38,7 +38,8 @@ class AIM(Mechanism):
     def run(self, df: DataFrame, workload: Mapping[Clique, float] | Sequence[Clique], rows: int | None = None, initial: Sequence[Clique] | None = None) -> tuple[Model, DataFrame]:
         schema = schema_of(df)
         workload = dict(workload) if isinstance(workload, Mapping) else {tuple(c): 1.0 for c in workload}
-        candidates = closure_weights(workload)
+        weights = closure_weights(workload)
+        candidates = {c: weights[c] for c in self.possible(schema, weights)}
         initial = [c for c in candidates if len(c) == 1] if initial is None else [tuple(c) for c in initial]
         answers = Answers(df, [*candidates, *initial])
         rho, rounds = self.ledger.rho, self.rounds or 16 * len(schema)

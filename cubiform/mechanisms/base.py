@@ -18,15 +18,23 @@ from ..plans.cliques import Clique, model_size_mb
 from ..plans.schema import Schema
 
 
+#: Cells of all marginals together that the driver holds, as doubles.
+MAX_CELLS = 1 << 27
+
+
 class Answers:
     """Exact marginals of a table for a fixed list of cliques, counted in one pass over the data.
 
+    More than ``MAX_CELLS`` cells are an error before anything is counted.
+
     They are as private as the data: only noisy functions of them may leave a mechanism.
     """
 
     def __init__(self, df: DataFrame, cliques: Iterable[Clique], weight: str | None = None):
         self.schema: Schema = schema_of(df)
         self.cliques = [tuple(c) for c in dict.fromkeys(cliques)]
+        if (cells := sum(map(self.schema.size, self.cliques))) > MAX_CELLS:
+            raise ValueError(f"the marginals have {cells} cells; {MAX_CELLS} are the most")
         got = vectors(multi(df, self.cliques, weight, self.schema), self.cliques, self.schema)
         self.of = dict(zip(self.cliques, got, strict=True))
 
@@ -61,6 +69,10 @@ class Mechanism:
     def fitted(self, schema: Schema, potentials: Cliques | None = None, iters: int | None = None, total: float | None = None) -> Model:
         return fit.mirror_descent(schema, self.measurements, known_total=total, potentials=potentials, iters=iters or self.iters)
 
+    def possible(self, schema: Schema, cliques: Iterable[Clique]) -> list[Clique]:
+        """Cliques that some model within the size limit can hold, and single attributes; others can never be chosen."""
+        return [c for c in cliques if len(c) < 2 or model_size_mb(schema, [c]) <= self.max_model_mb]
+
     def within(self, schema: Schema, model: Model, clique: Clique, limit_mb: float) -> bool:
         return model_size_mb(schema, [*model.potentials, tuple(clique)]) <= limit_mb
 

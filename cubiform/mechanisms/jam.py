@@ -31,7 +31,7 @@ class JAM(Mechanism):
     def run(self, private: DataFrame, public: DataFrame, workload: Mapping[Clique, float] | Sequence[Clique], rows: int | None = None) -> tuple[Model, DataFrame]:
         schema = schema_of(private)
         workload = dict(workload) if isinstance(workload, Mapping) else {tuple(c): 1.0 for c in workload}
-        candidates = list(closure_weights(workload))
+        candidates = self.possible(schema, closure_weights(workload))
         own, other = Answers(private, [*candidates, ()]), Answers(public, [*candidates, ()])
         n, m = float(own[()].sum()), float(other[()].sum())
         scaled = {c: other[c] * (n / m) for c in candidates}

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.noise import uniform
-from ..plans.cliques import greedy_order
+from ..plans.cliques import greedy_order, junction_tree
 from ..plans.schema import Attrs, Schema, names
+from ..storage import stored
 from .cubes import cell, col, grid
 
 NEG_INF = float("-inf")
@@ -198,9 +199,28 @@ def einsum(formula: str, *factors: Frame, semiring: str = "sum-product") -> Fram
 
 
 def belief_propagation(factors: Sequence[Frame], total: float = 1.0) -> list[Frame]:
-    """Marginals on each factor's attributes of the product of exponentials, as join-aggregate plans."""
-    out = []
+    """Marginals on each factor's attributes of the product of exponentials, as join-aggregate plans.
+
+    A message goes each way along every edge of a junction tree. Factors and messages are tables in the shared
+    folder: what a factor was made from is read once, and no plan holds another message's plan.
+    """
+    whole = Schema((), ())
     for f in factors:
-        joint = contraction(list(factors), f.schema.attrs, "log-sum-exp")
-        out.append(joint.normalize(total, log=True).exp())
-    return out
+        whole = whole.merge(f.schema)
+    tree = junction_tree(whole, [f.schema.attrs for f in factors])
+    cliques = tree.cliques or [()]
+    held: list[list[Frame]] = [[] for _ in cliques]
+    homes = [next(k for k, c in enumerate(cliques) if set(f.schema.attrs) <= set(c)) for f in factors]
+    for home, f in zip(homes, factors, strict=True):
+        held[home].append(Frame(f.schema, stored(f.df, "factor")))
+    sent: dict[tuple[int, int], Frame] = {}
+
+    def pool(at: int, but: int | None = None) -> list[Frame]:
+        return held[at] + [m for (a, b), m in sent.items() if b == at and a != but]
+
+    for a, b in tree.messages:
+        if known := pool(a, but=b):
+            keep = [x for x in tree.separator(a, b) if any(x in f.schema for f in known)]
+            m = contraction(known, keep, "log-sum-exp")
+            sent[a, b] = Frame(m.schema, stored(m.df, "message"))
+    return [contraction(pool(home), f.schema.attrs, "log-sum-exp").normalize(total, log=True).exp() for home, f in zip(homes, factors, strict=True)]

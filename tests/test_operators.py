@@ -2,15 +2,17 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cubiform.functions import kernels as K
 from cubiform.mechanisms.aim import AIM
+from cubiform.mechanisms import base
 from cubiform.mechanisms.base import Answers
 from cubiform.mechanisms.mst import MST
 from cubiform.model import Model
 from cubiform.operators import cubes, synth
-from cubiform.operators.factors import Frame
+from cubiform.operators.factors import Frame, belief_propagation, contraction
 from cubiform.plans.schema import Schema
 from cubiform.sources import encode
 
@@ -85,6 +87,28 @@ def test_frames_agree_with_kernels(df, rows):
         ab.transpose(("a",))
 
 
+@pytest.mark.parametrize("cliques", [["xy", "yz", "zw"], ["xy", "yz", "xz", "w"], ["xy", "yz", "zw", "xw"], ["xyz", "y", "yz", "zw", "w"], ["x", "yw"], [""]])
+def test_messages_agree_with_the_whole_product(spark, cliques):
+    whole, rng = Schema(tuple("xyzw"), (2, 3, 2, 3)), np.random.default_rng(3)
+    factors = []
+    for k, c in enumerate(cliques):
+        schema = whole.project(tuple(c))
+        cells = [(*map(int, at), float(rng.normal())) for at in np.ndindex(*schema.sizes)]
+        factors.append(Frame(schema, spark.createDataFrame(cells, ", ".join([*(f"{a} int" for a in c), "value double"]))))
+    factors[0] = Frame(factors[0].schema, factors[0].df.withColumn("value", F.when(F.rank().over(Window.partitionBy(F.lit(0)).orderBy("value")) > 1, F.col("value")).otherwise(float("-inf")))) if cliques != [""] else factors[0]
+    for f, got in zip(factors, belief_propagation(factors, 50), strict=True):
+        want = contraction(factors, f.schema.attrs, "log-sum-exp").normalize(50, log=True).exp()
+        assert got.schema == f.schema
+        np.testing.assert_allclose([r.value for r in got.datavector().collect()], [r.value for r in want.datavector().collect()], rtol=1e-9, atol=1e-12)
+
+
+def test_answers_are_bounded(df, monkeypatch):
+    monkeypatch.setattr(base, "MAX_CELLS", 3)
+    with pytest.raises(ValueError, match="cells"):
+        Answers(df, [("a", "b"), ("b", "c")])
+    assert AIM(1.0, 1e-6, max_model_mb=1e-6).possible(R, [("a",), ("a", "b")]) == [("a",)]
+
+
 def small_model(rows) -> Model:
     cliques = [("a", "b"), ("b", "c")]
     theta = K.Cliques(R, {c: K.Factor(R.project(c), np.log(histogram(rows, c) + 1)) for c in cliques})
