@@ -61,8 +61,8 @@ def public_support(public: DataFrame, loss: Loss, total: float, iters: int = 250
     now = _normalized(rows, total)
     mu = weighted_marginals(now, loss.cliques)
     value, gradient = loss.of(mu)
-    step, growing = 1.0 / total, True
-    for k in range(iters):
+    step, growing, taken = 1.0 / total, True, 0
+    for _ in range(iters):
         tried = shifted(rows, gradient, step)
         tried = tried.select(*[col(a).alias(a, metadata={"cardinality": n}) for a, n in schema.config.items()], "log_weight")
         new = _normalized(tried, total)
@@ -71,7 +71,8 @@ def public_support(public: DataFrame, loss: Loss, total: float, iters: int = 250
         if value - new_value >= 0.5 * gradient.dot(mu - new_mu):
             rows, mu, value, gradient = tried, new_mu, new_value, new_gradient
             step *= 2 if growing else 1.0
-            if k % every == every - 1:
+            taken += 1
+            if taken % every == 0:
                 rows = stored(rows, "public")
                 rows = rows.select(*[col(a).alias(a, metadata={"cardinality": n}) for a, n in schema.config.items()], "log_weight")
         else:

@@ -55,10 +55,11 @@ def ranked(df: DataFrame, keys: list[str], seed: str, buckets: int) -> DataFrame
     inner = Window.partitionBy(*map(col, keys), "__bucket").orderBy("__u", "id")
     if buckets == 1:
         return df.withColumn("rank", F.row_number().over(inner).cast("long")).drop("__u", "__bucket")
+    # as many rows as groups times buckets, which grow with the rows: no broadcast, the window has dealt df by these keys
     sizes = df.groupBy(*map(col, keys), "__bucket").agg(F.count(F.lit(1)).alias("__n"))  # a row per group and bucket
     before = Window.partitionBy(*(map(col, keys) if keys else [F.lit(0)])).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    return df.withColumn("__r", F.row_number().over(inner)).join(F.broadcast(starts), [*keys, "__bucket"]).withColumn("rank", F.col("__start") + F.col("__r")).drop("__u", "__bucket", "__start", "__r")
+    return df.withColumn("__r", F.row_number().over(inner)).join(starts, [*keys, "__bucket"]).withColumn("rank", F.col("__start") + F.col("__r")).drop("__u", "__bucket", "__start", "__r")
 
 
 def allocated(counts: DataFrame, table: DataFrame, parents: tuple[str, ...], seed: str) -> DataFrame:
