@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.noise import uniform
 from ..plans.cliques import Clique
 from ..plans.schema import Attrs, Schema, names
+from ..storage import stored
 from .cubes import filled, multi, schema_of
 from .factors import NEG_INF, Frame, guarded_log
 
@@ -55,6 +56,10 @@ class Long:
         key = F.concat_ws(":", F.col("clique_id").cast("string"), F.col("cell").cast("string"))
         return cls.constant(like, schema, cliques)._map(uniform(seed, key))
 
+    def stored(self) -> Long:
+        """The same collection as a table in the shared folder, so that its factors read cells, not what was counted."""
+        return Long(self.schema, self.cliques, stored(self.df, "cells"))
+
     def _map(self, value: Column) -> Long:
         return Long(self.schema, self.cliques, self.df.select(*KEY, value.alias("value")))
 

@@ -201,8 +201,8 @@ def einsum(formula: str, *factors: Frame, semiring: str = "sum-product") -> Fram
 def belief_propagation(factors: Sequence[Frame], total: float = 1.0) -> list[Frame]:
     """Marginals on each factor's attributes of the product of exponentials, as join-aggregate plans.
 
-    A message goes each way along every edge of a junction tree. Factors and messages are tables in the shared
-    folder: what a factor was made from is read once, and no plan holds another message's plan.
+    A message goes each way along every edge of a junction tree, a table in the shared folder, so no plan holds
+    another message's plan. Factors are read once a message: take them from a stored collection of cells.
     """
     whole = Schema((), ())
     for f in factors:
@@ -212,7 +212,7 @@ def belief_propagation(factors: Sequence[Frame], total: float = 1.0) -> list[Fra
     held: list[list[Frame]] = [[] for _ in cliques]
     homes = [next(k for k, c in enumerate(cliques) if set(f.schema.attrs) <= set(c)) for f in factors]
     for home, f in zip(homes, factors, strict=True):
-        held[home].append(Frame(f.schema, stored(f.df, "factor")))
+        held[home].append(f)
     sent: dict[tuple[int, int], Frame] = {}
 
     def pool(at: int, but: int | None = None) -> list[Frame]:
