@@ -1,7 +1,13 @@
-"""Near copies by exact word-shingle similarity: prefix filtering for candidates, then counted intersections.
+"""Near copies by SimHash, checked by exact word-shingle similarity and made whole by prefix filtering.
 
 A text is the set of its shingles of ``WORDS`` words, as 64-bit hashes. Two texts are linked at a Jaccard
-similarity of 4/5 or more. In any one order of all shingles, linked sets of n shingles share one of their first
+similarity of 4/5 or more.
+
+First SimHash names near copies: fingerprints of 64 bits, a bit set if over half of a set's hashes have it, are compared
+exactly in tiles (``simhash.nearest``) with exclusive-or and bit counts, at ``RADIUS`` bits. Sets of similarity 4/5 differ
+in about 10 bits on average, closer ones in fewer, others in about 32. What fingerprints name is checked in full.
+
+Fingerprints cannot promise a similarity, so sets that are apart after that are searched by prefixes. In any one order of all shingles, linked sets of n shingles share one of their first
 n - ceil(4n/5) + 1, so only sets that meet in such a prefix are compared and no link is lost. Shingles that a
 sample shows to be common come last in the order: that keeps the meeting places small and changes no result.
 
@@ -9,8 +15,8 @@ Each set has a sketch of ``BITS`` bits, bit k being the parity of its shingles t
 in no more bits than their sets differ in shingles, so an exclusive-or and a bit count rule out most pairs that
 are not linked, and never one that is; the others are compared in full.
 
-Candidates are compared in rounds. ``ROUNDS`` times every set with one set of each meeting place, in proportion
-to the prefixes, which ties large groups of near copies together. Then, where sets of a meeting place are still
+Candidates are compared in rounds. After SimHash, ``ROUNDS`` times every set with one set of each meeting place, in
+proportion to the prefixes, which ties large groups of near copies together. Then, where sets of a meeting place are still
 apart, those that are apart are compared within the join: what it returns are the pairs that sizes and sketches
 leave, of which the prefixes' common shingles rule out more.
 
@@ -31,9 +37,12 @@ from pyspark.sql import types as T
 
 from .common import byte_values, maybe_broadcast, stored
 from .components import components
+from .simhash import fingerprint_of, nearest
 
 #: Words in a shingle, one set in so many sampled for the order, shingles that the order knows as common, rounds.
-WORDS, SAMPLED, COMMON, ROUNDS = 5, 16, 1 << 20, 2
+WORDS, SAMPLED, COMMON, ROUNDS = 5, 16, 1 << 20, 1
+#: Bits in which fingerprints of candidates differ at most.
+RADIUS = 12
 #: Bits of a sketch, a power of two of at least 64.
 BITS = 256
 
@@ -55,7 +64,7 @@ def sketches(owner: np.ndarray, flat: np.ndarray, n: int) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """``(doc_id, text_key, node, shingles, bits)``: a row per row of ``docs``; equal sets have one node."""
+    """``(doc_id, text_key, node, fp, shingles, bits)``: a row per row of ``docs``; equal sets have one node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -65,15 +74,16 @@ def sets_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
                 part = b.slice(s, 1024)
                 sets = [shingles(t, words) for t in byte_values(part.column(2))]
                 node = np.fromiter((xxh64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets)).view(np.int64)
+                fps = np.fromiter(map(fingerprint_of, sets), np.uint64, len(sets)).view(np.int64)
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = np.concatenate(sets)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 words_of = sketches(np.repeat(np.arange(len(sets)), np.diff(ends)), flat, len(sets)).ravel()
                 bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)), pa.array(words_of))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), lists, bits], names=out.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), pa.array(fps), lists, bits], names=out.names)
 
     long = T.LongType()
-    out = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("text_key", long), T.StructField("node", long), *(T.StructField(c, T.ArrayType(long)) for c in ("shingles", "bits"))])
+    out = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("text_key", long), T.StructField("node", long), T.StructField("fp", long), *(T.StructField(c, T.ArrayType(long)) for c in ("shingles", "bits"))])
     whole = F.col(text).cast("string")
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("text_key"), whole.alias("text")).mapInArrow(run, out)
 
@@ -137,26 +147,37 @@ def _close(n: str, m: str) -> Column:
     return (5 * F.col(n) >= 4 * F.col(m)) & (5 * F.col(m) >= 4 * F.col(n))
 
 
+def _checked(pairs: DataFrame, drawn: DataFrame, sets: DataFrame) -> DataFrame:
+    """A stored table of those of ``pairs (a, b, n, m)`` that are linked: by sketches, then in full."""
+    kept = _both(stored(pairs, "candidates"), drawn, "bits").where(_sketched("x", "y", "n", "m")).select("a", "b", "n", "m")
+    return stored(verified(kept, sets), "near")
+
+
+def _apart(met: DataFrame, links: DataFrame) -> DataFrame:
+    """A stored table of the ``met (shingle, node, n, group)`` of meeting places with sets in several groups of ``links``."""
+    tied = maybe_broadcast(stored(components(links), "tied"), 2)
+    named = met.select("shingle", "node", "n").join(tied, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("group"))
+    apart = named.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("shingle")
+    return stored(named.join(apart, "shingle", "left_semi"), "apart")
+
+
 def near_links(sets: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between nodes that leave the same groups as all links of similarity 4/5 or more."""
+    drawn = stored(sets.groupBy("node").agg(F.first("bits").alias("bits"), F.first("fp").alias("fp"), F.first(F.size("shingles")).alias("n")), "sketches")
+    sized = [drawn.select(F.col("node").alias(end), F.col("n").alias(size)) for end, size in (("a", "n"), ("b", "m"))]
+    named = nearest(drawn, 0.8, RADIUS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = _checked(named.join(sized[0], "a").join(sized[1], "b").where(_close("n", "m")), drawn, sets)
     met = stored(prefixes(sets), "prefixes")
     several = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("shingle")
-    met = stored(met.join(several, "shingle", "left_semi").withColumn("group", F.col("node")), "meetings")
-    drawn = stored(sets.groupBy("node").agg(F.first("bits").alias("bits")), "sketches")
-    links = None
+    met = _apart(met.join(several, "shingle", "left_semi"), links)
     for k in range(ROUNDS):
         rank = F.xxhash64("node") if k == 0 else F.xxhash64(F.lit(k), "shingle", "node")  # first the same set in many places
         centre = met.groupBy("shingle").agg(F.min_by(F.struct("node", "n", "group"), rank).alias("o"))
         found = met.join(centre, "shingle").where((F.col("group") != F.col("o.group")) & _close("n", "o.n"))
         found = found.select(F.col("node").alias("a"), F.col("o.node").alias("b"), "n", F.col("o.n").alias("m")).distinct()
-        found = _both(stored(found, "candidates"), drawn, "bits").where(_sketched("x", "y", "n", "m")).select("a", "b", "n", "m")
-        new = stored(verified(found, sets), "near")
-        links = new if links is None else links.unionByName(new)
-        tied = maybe_broadcast(stored(components(links), "tied"), 2)
-        named = met.select("shingle", "node", "n").join(tied, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("group"))
-        apart = named.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("shingle")
-        met = stored(named.join(apart, "shingle", "left_semi"), "apart")
-    met = stored(met.join(drawn, "node").withColumnRenamed("node", "a"), "sketched").alias("l")
+        links = links.unionByName(_checked(found, drawn, sets))
+        met = _apart(met, links)
+    met = stored(met.join(drawn.select("node", "bits"), "node").withColumnRenamed("node", "a"), "sketched").alias("l")
     other = met.select(F.col("shingle").alias("at"), F.col("a").alias("b"), F.col("n").alias("m"), F.col("group").alias("others"), F.col("bits").alias("y"))
     able = (F.col("a") < F.col("b")) & (F.col("group") != F.col("others")) & _close("n", "m") & _sketched("bits", "y", "n", "m")
     pairs = met.join(other, (F.col("shingle") == F.col("at")) & able)

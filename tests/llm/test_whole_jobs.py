@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from cubiform.llm import lmscore, shingles
+from cubiform.llm import lmscore, shingles, simhash
 
 from .fixtures import DOCS, docs, empty
 
@@ -67,6 +67,42 @@ def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
     assert shingles.sketches(np.empty(0, int), np.empty(0, np.int64), 0).shape[0] == 0
 
 
+def test_fingerprints_alone_find_near_copies(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(30):
+        words = [f"w{k}x{rng.randrange(500)}" for _ in range(120)]
+        rows.append((k, " ".join(words), "en", "s"))
+        words[rng.randrange(20, 100)] = "edited"
+        rows.append((100 + k, " ".join(words), "en", "s"))
+    prefixes = shingles.prefixes
+    monkeypatch.setattr(shingles, "prefixes", lambda sets: prefixes(sets).limit(0))
+    kept = corpus_pipeline.near_dedup(spark, docs(spark, rows), "").collect()
+    assert {r.doc_id for r in kept} == set(range(30))
+
+
+def test_nearest_names_a_near_fingerprint_in_every_tile(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAST", 16)
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(2**63), 2**63, 40)
+    flips = [sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 9), False)) for _ in range(200)]
+    fps = [*(int(base[k % 40]) ^ f for k, f in enumerate(flips)), *([int(base[0])] * 100)]
+    rows = [(k, f, int(n)) for k, (f, n) in enumerate(zip(fps, rng.choice([0, 1, 40, 50, 49, 200], len(fps)), strict=True))]
+    got = {(r.a, r.b) for r in simhash.nearest(spark.createDataFrame(rows, "node long, fp long, n int"), 0.8, 6).collect()}
+    differ = lambda x, y: ((x ^ y) & (2**64 - 1)).bit_count()
+    fits = lambda a, b: a[0] != b[0] and differ(a[1], b[1]) <= 6
+    assert all(fits(rows[a], rows[b]) for a, b in got)
+    close = lambda a, b: 5 * a[2] >= 4 * b[2] and 5 * b[2] >= 4 * a[2]
+    assert {a[0] for a in rows for b in rows if fits(a, b) and close(a, b)} <= {a for pair in got for a in pair}
+    assert len(got) <= 2 * len(rows) * 20  # no pairs of the 100 equal ones
+    h = np.frombuffer(rng.bytes(8 * 5), np.uint64)
+    ones = [sum(int(x) >> k & 1 for x in h) for k in range(64)]
+    assert simhash.fingerprint_of(h) == sum(1 << k for k, n in enumerate(ones) if n > 2) and simhash.fingerprint_of(h[:0]) == 0
+
+
 # -- LM scoring
 
 
