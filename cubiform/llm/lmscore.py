@@ -121,7 +121,8 @@ def lexicon(counts: DataFrame) -> dict:
 class Network:
     """Embeddings of the left and right side, class weights and the weights of each bucket's words; ``flat`` numbers all parameters.
 
-    The last row of a table of weights is the bias.
+    The last row of a table of weights is the bias. ``sizes`` has how many places of each bucket stand for words: others are
+    left out, since their shares, as good as none, make floats too small to be normal, which slow every product down.
     """
 
     rows = INPUTS + BUCKETS + 1  # the last is the place outside a text
@@ -132,6 +133,7 @@ class Network:
         cut = np.split(self.flat, np.cumsum([n, n, (WIDTH + 1) * c]))
         self.left, self.right = cut[0].reshape(-1, WIDTH), cut[1].reshape(-1, WIDTH)
         self.out, self.inner = cut[2].reshape(WIDTH + 1, c), cut[3].reshape(BUCKETS, WIDTH + 1, places)
+        self.sizes = (np.arange(1, places + 1) * (self.inner[:, WIDTH] != -FAR)).max(axis=1).tolist()  # no word's bias is at the bound
 
     @classmethod
     def new(cls, lex: dict, seed: int = 7) -> Network:
@@ -143,6 +145,7 @@ class Network:
         net = cls(np.concatenate([spread, np.zeros((WIDTH + 1) * len(of) + BUCKETS * (WIDTH + 1) * mass.shape[1])]), mass.shape[1])
         net.out[WIDTH] = np.log(of / of.sum())
         net.inner[:, WIDTH] = np.where(mass < 0, -FAR, np.log(within / np.where(mass < 0, 0, within).sum(axis=1, keepdims=True)))
+        net.sizes = (mass >= 0).sum(axis=1).tolist()
         return net
 
     def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -169,28 +172,27 @@ class Network:
 
         d = error(h, self.out, target)
         back = d @ self.out[:WIDTH].T
-        found = {"out": (slice(None), h.T @ d)}
+        found = {"out": (slice(None), (d.T @ h).T)}
         order, bounds = _by_bucket(target)
         which, sorted_h, sorted_slot = np.flatnonzero(np.diff(bounds)), h[order], slot[order]
-        inner, more = np.empty((len(which), WIDTH + 1, self.places), np.float32), np.empty((len(order), WIDTH), np.float32)
+        inner, more = np.zeros((len(which), WIDTH + 1, self.places), np.float32), np.empty((len(order), WIDTH), np.float32)
         for k, b in enumerate(which.tolist()):
-            some = slice(bounds[b], bounds[b + 1])
-            d = error(sorted_h[some], self.inner[b], sorted_slot[some])
-            np.matmul(sorted_h[some].T, d, out=inner[k])
-            np.matmul(d, self.inner[b, :WIDTH].T, out=more[some])
+            some, n = slice(bounds[b], bounds[b + 1]), self.sizes[b]
+            d = error(sorted_h[some], self.inner[b, :, :n], sorted_slot[some])
+            np.matmul(sorted_h[some].T, d, out=inner[k, :, :n])
+            np.matmul(d, self.inner[b, :WIDTH, :n].T, out=more[some])
         back[order] += more
         found["inner"] = (which, inner)
         lo, n = at[0], at[-1] + 1 - at[0]
-        spread = np.zeros((n, WIDTH), np.float32)
-        spread[at - lo] = back
+        spread = np.zeros((WIDTH, n), np.float32)
+        spread[:, at - lo] = back.T
         near = ids[lo - SIDE : lo + n + SIDE]
-        order = np.argsort(near, kind="stable")
-        rows, starts = np.unique(near[order], return_index=True)
+        rows, row = np.unique(near, return_inverse=True)
         for name, sign in (("left", -1), ("right", 1)):
-            moved = np.zeros((n + 2 * SIDE, WIDTH), np.float32)
+            moved = np.zeros((WIDTH, n + 2 * SIDE), np.float32)
             for o in range(1, SIDE + 1):
-                moved[SIDE + sign * o : SIDE + sign * o + n] += spread / np.float32(o)
-            found[name] = (rows, np.add.reduceat(moved[order], starts, axis=0))
+                moved[:, SIDE + sign * o : SIDE + sign * o + n] += spread / np.float32(o)
+            found[name] = (rows, np.stack([np.bincount(row, m, len(rows)) for m in moved], axis=1).astype(np.float32))
         return found
 
     def train(self, ids: np.ndarray, at: np.ndarray, target: np.ndarray, slot: np.ndarray, seen: Network) -> None:
@@ -211,7 +213,7 @@ class Network:
         sorted_h, sorted_slot, more = h[order], slot[order], np.zeros(len(order), np.float32)
         for b in np.flatnonzero(np.diff(bounds)).tolist():
             some = slice(bounds[b], bounds[b + 1])
-            more[some] = shares(sorted_h[some], self.inner[b], sorted_slot[some])
+            more[some] = shares(sorted_h[some], self.inner[b, :, : self.sizes[b]], sorted_slot[some])
         lp[order] += more
         return lp
 

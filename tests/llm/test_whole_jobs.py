@@ -116,3 +116,21 @@ def test_every_token_is_a_training_target(spark):
         assert net.out[-1, own] > start.out[-1, own]
     model = lmscore.fit(docs(spark, [(1, "alone", "en", "s")]))
     assert (model["flat"] != lmscore.Network.new(model["lexicon"]).flat).any()
+
+
+def test_training_makes_no_floats_too_small_to_be_normal():
+    words = [f"v{k}".encode() for k in range(300)]
+    bucket = (lmscore._hash(words) % np.uint64(lmscore.BUCKETS)).astype(int)
+    slot = np.array([1 + int((bucket[lmscore.HEADS : k] == bucket[k]).sum()) if k >= lmscore.HEADS else 0 for k in range(300)] + [0] * lmscore.BUCKETS)
+    mass = np.full((lmscore.BUCKETS, slot.max() + 1), -1.0)
+    mass[:, 0] = 3
+    mass[bucket[lmscore.HEADS :], slot[lmscore.HEADS : 300]] = 5
+    lex = {"inputs": np.append(np.arange(300), lmscore.INPUTS + np.arange(lmscore.BUCKETS)).astype(np.uint16), "heads": np.full(lmscore.HEADS, 50.0), "mass": mass}
+    classes = np.concatenate([np.arange(lmscore.HEADS), lmscore.HEADS + bucket[lmscore.HEADS :], lmscore.HEADS + np.arange(lmscore.BUCKETS)])
+    net = lmscore.Network.new(lex)
+    assert net.sizes == lmscore.Network(net.flat, net.places).sizes == (mass >= 0).sum(axis=1).tolist() and min(net.sizes) < net.places
+    codes = np.random.default_rng(4).integers(0, len(classes), 4000)
+    ids, at = lmscore.laid_out(codes, np.array([4000]), lex)
+    tiny = np.finfo(np.float32).tiny
+    for _, grad in net.gradients(ids, at, classes[codes], slot[codes]).values():
+        assert not ((grad != 0) & (np.abs(grad) < tiny)).any()
