@@ -29,6 +29,7 @@ from .common import lower_ascii, maybe_broadcast, stored
 
 #: A run of word characters, after lower-casing A-Z: digits, a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 DOC = ["doc_key", "text_key"]
 
 
@@ -57,18 +58,26 @@ def item_words(items: DataFrame, item_id: str = "item_id", text: str = "text") -
     ).distinct()
 
 
-def build_index(docs: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
-    """Store postings of ``docs`` for the words of ``vocabulary (word)``, in one pass over the texts."""
-    distinct = vocabulary.select("word").where(F.col("word") != "").distinct()
-    terms = stored(distinct.withColumn("term", F.monotonically_increasing_id() + 1), "terms")  # fixed once written
-    asked = terms.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(0).cast("long").alias("term")))
-    found = F.concat(F.array(F.lit("")), words(F.col(text)))  # place 0 marks the document itself
+def tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, doc_key, text_key, n_words, pos, word)``: each text's words at places from 1, and at place 0 an empty one for the document."""
+    # A text after a space is split into an empty string, whose place 0 marks the document itself, its words, and an empty one if it ends between words.
+    found = F.split(F.concat(F.lit(" "), lower_ascii(F.coalesce(F.col(text).cast("string"), F.lit("")))), BETWEEN)
+    n_words = F.size("w") - 1 - (F.element_at("w", -1) == "").cast("int")
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).alias("doc_key"),
         F.xxhash64(F.col(text).cast("string")).alias("text_key"),
         found.alias("w"),
-    ).select("doc_id", "doc_key", "text_key", (F.size("w") - 1).cast("long").alias("n_words"), F.posexplode("w").alias("pos", "word"))
+    ).select("doc_id", "doc_key", "text_key", n_words.cast("long").alias("n_words"), F.posexplode_outer("w").alias("pos", "word"))  # none is empty; else a filter would split texts twice
+    return rows.where((F.col("pos") == 0) | (F.col("word") != ""))
+
+
+def build_index(docs: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
+    """Store postings of ``docs`` for the words of ``vocabulary (word)``, in one pass over the texts."""
+    distinct = vocabulary.select("word").where(F.col("word") != "").distinct()
+    terms = stored(distinct.withColumn("term", F.monotonically_increasing_id() + 1), "terms")  # fixed once written
+    asked = terms.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(0).cast("long").alias("term")))
+    rows = tokens(docs, doc_id, text)
     kept = rows.join(maybe_broadcast(asked, 2, F.octet_length("word")), "word").select("doc_id", "doc_key", "text_key", "n_words", "pos", "term")
     saved = stored(kept, "postings")
     return Index(saved.where("term > 0").select(*DOC, "pos", "term"), saved.where("term = 0").select("doc_id", *DOC, "n_words"), terms)

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from cubiform.llm import lmscore, shingles, simhash
+from cubiform.llm import decontaminate, langid, lmscore, shingles, simhash
 
 from .fixtures import DOCS, docs, empty
 
@@ -103,6 +103,40 @@ def test_nearest_names_a_near_fingerprint_in_every_tile(spark, monkeypatch):
     assert simhash.fingerprint_of(h) == sum(1 << k for k, n in enumerate(ones) if n > 2) and simhash.fingerprint_of(h[:0]) == 0
 
 
+# -- texts are cut once
+
+
+def test_texts_are_split_once(spark):
+    for rows in (decontaminate.tokens(docs(spark)), lmscore.word_counts(docs(spark))):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 1 and "regexp_extract_all" not in plan
+
+
+def test_splitting_finds_the_words_at_their_places(spark):
+    texts = [None, "", " ", "a", "a ", " a", "\x00\x7fa--B9\n", "É é, HÄUSER\u2028x \U0001f600y", "\ufeff", "a" * 50 + ".b"]
+    table = docs(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])
+    want = {r.doc_id: list(r.w) for r in table.select("doc_id", decontaminate.words(table.text).alias("w")).collect()}
+    found: dict = {}
+    for r in decontaminate.tokens(table).orderBy("doc_id", "pos").collect():
+        assert r.n_words == len(want[r.doc_id])
+        found.setdefault(r.doc_id, []).append((r.pos, r.word))
+    assert found == {k: list(enumerate(["", *w])) for k, w in want.items()}
+
+
+# -- language ID
+
+
+def test_language_id_holds_few_rows_as_objects(monkeypatch):
+    import pyarrow as pa
+
+    given = []
+    monkeypatch.setattr(langid, "give_back", lambda: given.append(1))
+    batch = pa.RecordBatch.from_pydict({"t": [str(k) for k in range(2 * langid.ROWS + 3)]})
+    parts = list(langid._cut(iter([batch, batch.slice(0, 0)])))
+    assert pa.Table.from_batches(parts) == pa.Table.from_batches([batch]) and max(p.num_rows for p in parts) == langid.ROWS
+    assert len(given) == 2
+
+
 # -- LM scoring
 
 
