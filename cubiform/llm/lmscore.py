@@ -52,8 +52,9 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(word, n)`` over all texts."""
-    found = F.regexp_extract_all(lower_ascii(F.col(text).cast("string")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    return docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    found = F.split(lower_ascii(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+")
+    each = docs.select(F.explode_outer(found).alias("word")).where("word <> ''")  # none is empty; else a filter would split texts twice
+    return each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _hash(words: list[bytes]) -> np.ndarray:
