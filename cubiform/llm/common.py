@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -68,3 +69,11 @@ def byte_values(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """An Arrow string column as Python bytes (no decoding)."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return column.cast(kind).to_pylist()
+
+
+def give_back() -> None:
+    """Let a Python worker, which serves one task after another, return the memory that no object uses any more."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)

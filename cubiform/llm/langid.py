@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Hash buckets, longest n-gram, most labelled texts of a language that are fitted on, characters in a slice.
-BUCKETS, ORDERS, MAX_DOCS, SLICE = 1 << 16, 3, 2000, 1 << 18
+from .common import give_back
+
+#: Hash buckets, longest n-gram, most labelled texts of a language that are fitted on, characters in a slice, rows held as Python objects.
+BUCKETS, ORDERS, MAX_DOCS, SLICE, ROWS = 1 << 16, 3, 2000, 1 << 18, 512
 
 
 def grams(points: np.ndarray, orders: int = ORDERS, buckets: int = BUCKETS) -> list[np.ndarray]:
@@ -49,6 +51,15 @@ def _slices(points: np.ndarray) -> Iterator[np.ndarray]:
             yield g[: max(0, min(SLICE, len(points) - at - n))]
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of ``ROWS`` rows; a worker's unused memory goes back before and after."""
+    give_back()
+    for b in batches:
+        for k in range(0, b.num_rows, ROWS):
+            yield b.slice(k, ROWS)
+    give_back()
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, alpha: float = 0.1) -> dict:
     """``{"langs": [...], "table": float32 (BUCKETS, languages), "prior": (languages)}`` from rows with text and label."""
     rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
@@ -62,7 +73,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs: i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(where), BUCKETS), np.int64)
-        for b in batches:
+        for b in _cut(batches):
             for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for g in _slices(_points(t)):
                     total[where[k]] += np.bincount(g, minlength=BUCKETS)
@@ -96,7 +107,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches:
+        for b in _cut(batches):
             langs, scores = [], []
             for t, letter in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 if letter and m["langs"]:

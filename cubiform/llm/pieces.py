@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import give_back, stored
 
 SPACE = "▁"
 #: Bytes of encoded words that are broadcast at most; the rest are joined.
@@ -150,9 +150,12 @@ def distinct_parts(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataF
 
     def counts(found: Counter) -> Iterator[pa.RecordBatch]:
         split: Counter = Counter()
-        for ps, n in zip(parts(list(found)), found.values(), strict=True):
-            for p in ps:
-                split[p] += n
+        every = list(found.items())
+        for k in range(0, len(every), 16384):
+            some = every[k : k + 16384]
+            for ps, (_, n) in zip(parts([w for w, _ in some]), some, strict=True):
+                for p in ps:
+                    split[p] += n
         words, n = list(split), np.fromiter(split.values(), np.int64, len(split))
         for k in range(0, len(words), 32768):
             yield pa.RecordBatch.from_arrays([pa.array(words[k : k + 32768], pa.string()), pa.array(n[k : k + 32768])], names=["word", "n"])
@@ -166,7 +169,10 @@ def distinct_parts(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataF
                 if len(found) > 1 << 18:
                     yield from counts(found)
                     found = Counter()
-        yield from counts(found)
+        if found:
+            yield from counts(found)
+        del found
+        give_back()
 
     counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
@@ -181,9 +187,10 @@ def lattice(words: DataFrame, pieces: Pieces, packed: bool = True) -> DataFrame:
     """
     table = F.broadcast(pieces.table(words.sparkSession))  # as long as the vocabulary, whatever the input
     n, own = F.char_length("word"), words.columns
-    spans = words.select(*own, F.explode(F.sequence(F.lit(0), n)).alias("s"))
+    # No sequence is empty; for an inner explode Spark would make each twice, to filter by its size.
+    spans = words.select(*own, F.explode_outer(F.sequence(F.lit(0), n)).alias("s"))
     width = F.when(F.col("s") == n, F.sequence(F.lit(0), F.lit(0))).otherwise(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s"))))
-    spans = spans.select(*own, "s", F.explode(width).alias("len"))
+    spans = spans.select(*own, "s", F.explode_outer(width).alias("len"))
     found = spans.withColumn("piece", F.col("word").substr(F.col("s") + 1, F.col("len"))).join(table, "piece")
     if max(len(pieces.names), 1) >= 1 << 18 or pieces.longest >= 1 << 6:
         raise ValueError("the vocabulary is too large for packed edges")
@@ -377,7 +384,7 @@ class Packed:
     What a worker has put together from them is kept with them, up to ``most`` words, from task to task.
     """
 
-    def __init__(self, hashes: np.ndarray, ids: pa.Array, most: int = 1 << 19):
+    def __init__(self, hashes: np.ndarray, ids: pa.Array, most: int = 1 << 18):
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.most, self.known = hashes[order], most, {}
         if len(hashes) and (self.hashes[1:] == self.hashes[:-1]).any():
@@ -512,6 +519,7 @@ def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
                     same = [t is None or x == t.replace(SPACE, " ").encode() for t, x in zip(texts, names.value.texts(flat, size), strict=True)]
                     columns.append(pa.array(same, pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
