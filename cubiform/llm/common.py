@@ -7,6 +7,9 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -16,6 +19,10 @@ from pyspark.sql import functions as F
 #: Rows and bytes up to which a side may be broadcast; beyond, a shuffled join is planned.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
+#: Whether Spark removes a query's shuffle files when it ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths that open ``passing`` blocks remove at their ends, innermost last.
+_PASSING: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,12 +52,44 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet, a folder a value of ``by``, and read it back: lineage ends at files all executors share."""
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting that holds inside alone."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored inside, but for those that stay, are removed at the end."""
+    paths: list[str] = []
+    token = _PASSING.set((*_PASSING.get(), paths))
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for path in paths:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, tag: str, by: str | None = None, stays: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet, a folder a value of ``by``, and read it back: lineage ends at files all executors share.
+
+    What was shuffled for it goes as soon as it is written. In a ``passing`` block the table goes with the block, or if it
+    ``stays`` with the block around that one.
+    """
     spark = df.sparkSession
     path = shared_path(spark, tag)
+    for paths in _PASSING.get()[::-1][int(stays) : int(stays) + 1]:
+        paths.append(path)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    with setting(spark, FREED, "true"):
+        (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

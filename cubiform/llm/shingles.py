@@ -13,7 +13,10 @@ sample shows to be common come last in the order: that keeps the meeting places
 
 Each set has a sketch of ``BITS`` bits, bit k being the parity of its shingles that hash to k. Two sketches differ
 in no more bits than their sets differ in shingles, so an exclusive-or and a bit count rule out most pairs that
-are not linked, and never one that is; the others are compared in full.
+are not linked, and never one that is. So does what two prefixes share. The others are compared in full.
+
+The shingles of all texts are not stored, as they need more space than the texts: a table has prefixes and sketches, and the sets
+that are compared in full are made anew from their texts. Tables on the way are removed when they are no longer needed.
 
 Candidates are compared in rounds. After SimHash, ``ROUNDS`` times every set with one set of each meeting place, in
 proportion to the prefixes, which ties large groups of near copies together. Then, where sets of a meeting place are still
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_values, maybe_broadcast, stored
+from .common import FREED, byte_values, maybe_broadcast, passing, setting, stored
 from .components import components
 from .simhash import fingerprint_of, nearest
 
@@ -63,53 +66,88 @@ def sketches(owner: np.ndarray, flat: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
 
 
-def sets_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """``(doc_id, text_key, node, fp, shingles, bits)``: a row per row of ``docs``; equal sets have one node."""
+def _late(flat: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which shingles are among the ``common`` ones, in rising order."""
+    return np.append(common, np.iinfo(np.int64).max)[np.searchsorted(common, flat)] == flat
+
+
+def _first(sets: list[np.ndarray], common: np.ndarray) -> pa.ListArray:
+    """The first n - ceil(4n/5) + 1 of each set's n shingles, common ones last."""
+    n, flat = np.fromiter(map(len, sets), np.int64, len(sets)), np.concatenate(sets)
+    owner = np.repeat(np.arange(len(n)), n)
+    order = np.argsort(owner * 2 + _late(flat, common), kind="stable")
+    most = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
+    rank = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(most)).astype(np.int32)), pa.array(flat[order[rank < most[owner]]]))
+
+
+def _keyed(docs: DataFrame, text: str) -> list[Column]:
+    whole = F.col(text).cast("string")
+    return [F.xxhash64(whole).alias("text_key"), whole.alias("text")]
+
+
+def _nodes(sets: list[np.ndarray]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter((xxh64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets)).view(np.int64)
+
+
+def common_shingles(docs: DataFrame, text: str = "text", words: int = WORDS) -> np.ndarray:
+    """Up to ``COMMON`` shingles, in rising order, that most of a sample of the texts have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+        for b in batches:
+            for s in range(0, b.num_rows, 1024):
+                found = [shingles(t, words) for t in byte_values(b.column(0).slice(s, 1024))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["shingle"])
+
+    some = docs.select(*_keyed(docs, text)).where(F.pmod(F.xxhash64("text_key"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "shingle long")
+    often = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(COMMON)
+    with setting(docs.sparkSession, FREED, "true"):
+        return np.sort(often.select("shingle").toArrow()["shingle"].to_numpy())
+
 
+def sets_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """``(doc_id, text_key, node, fp, n, prefix, bits)``: a row per row of ``docs``; equal sets, of n shingles, have one node.
+
+    The shingles are not kept, as they need more space than the texts do; ``held_sets`` makes those anew that are compared.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 1024):
                 part = b.slice(s, 1024)
                 sets = [shingles(t, words) for t in byte_values(part.column(2))]
-                node = np.fromiter((xxh64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets)).view(np.int64)
                 fps = np.fromiter(map(fingerprint_of, sets), np.uint64, len(sets)).view(np.int64)
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                flat = np.concatenate(sets)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                words_of = sketches(np.repeat(np.arange(len(sets)), np.diff(ends)), flat, len(sets)).ravel()
+                n = np.fromiter(map(len, sets), np.int32, len(sets))
+                words_of = sketches(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), len(sets)).ravel()
                 bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)), pa.array(words_of))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), pa.array(fps), lists, bits], names=out.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_nodes(sets)), pa.array(fps), pa.array(n), _first(sets, sent.value), bits], names=out.names)
 
     long = T.LongType()
-    out = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("text_key", long), T.StructField("node", long), T.StructField("fp", long), *(T.StructField(c, T.ArrayType(long)) for c in ("shingles", "bits"))])
-    whole = F.col(text).cast("string")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("text_key"), whole.alias("text")).mapInArrow(run, out)
+    plain = [T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("text_key", long), T.StructField("node", long), T.StructField("fp", long), T.StructField("n", T.IntegerType())]
+    out = T.StructType([*plain, *(T.StructField(c, T.ArrayType(long)) for c in ("prefix", "bits"))])
+    return docs.select(F.col(doc_id).alias("doc_id"), *_keyed(docs, text)).mapInArrow(run, out)
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
-    """``(shingle, node, n)``: the first n - ceil(4n/5) + 1 of each set's n shingles, common ones last."""
-    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).select(F.explode("shingles").alias("shingle"))
-    often = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(COMMON)
-    sent = sets.sparkSession.sparkContext.broadcast(np.sort(often.select("shingle").toArrow()["shingle"].to_numpy()))
+def held_sets(docs: DataFrame, keys: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
+    """``(node, shingles)`` of the texts of ``docs`` that ``keys (text_key)`` names, a row for each different set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = np.append(sent.value, np.iinfo(np.int64).max)
         for b in batches:
             for s in range(0, b.num_rows, 1024):
-                part = b.slice(s, 1024)
-                n = np.asarray(part.column(1).value_lengths().to_numpy(zero_copy_only=False), np.int64)
-                flat = part.column(1).flatten().to_numpy()
-                late = common[np.searchsorted(common, flat)] == flat
-                owner = np.repeat(np.arange(len(n)), n)
-                order = np.argsort(owner * 2 + late, kind="stable")
-                rank = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-                first = rank < (n - (4 * n + 4) // 5 + 1)[owner]
-                at = owner[first]
-                yield pa.RecordBatch.from_arrays([pa.array(flat[order[first]]), pa.array(part.column(0).to_numpy()[at]), pa.array(n[at])], names=["shingle", "node", "n"])
+                sets = [shingles(t, words) for t in byte_values(b.column(0).slice(s, 1024))]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes(sets)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "shingles"])
+
+    asked = docs.select(*_keyed(docs, text)).join(keys, "text_key", "left_semi").select("text")
+    return asked.mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
-    return sets.select("node", "shingles").mapInArrow(run, "shingle long, node long, n long").distinct()
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """``(shingle, node, n)``: the prefixes of ``sets (node, n, prefix)``, a row per node."""
+    return sets.select(F.explode("prefix").alias("shingle"), "node", "n")
 
 
 def _sketched(x: Column | str, y: Column | str, n: str, m: str) -> Column:
@@ -124,13 +162,15 @@ def _both(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
     return pairs.join(x, "a").join(y, "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs (a, b, n, m)``, sets of n and m shingles, that have similarity 4/5 or more."""
-    pairs = stored(pairs, "pairs")
-    used = maybe_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 1)
-    held = sets.join(used, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return _both(pairs, held, "shingles").where(9 * shared >= 4 * (F.col("n") + F.col("m"))).select("a", "b")
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text: str = "text") -> DataFrame:
+    """A stored table ``(a, b)`` of those of ``pairs (a, b, n, m)``, sets of n and m shingles, that have similarity 4/5 or more."""
+    with passing(docs.sparkSession):
+        pairs = stored(pairs, "pairs")
+        used = maybe_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 1)
+        keys = stored(sets.join(used, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key")).select("text_key"), "asked")
+        held = stored(held_sets(docs, maybe_broadcast(keys, 1), text), "held")
+        shared = F.size(F.array_intersect("x", "y"))
+        return stored(_both(pairs, held, "shingles").where(9 * shared >= 4 * (F.col("n") + F.col("m"))).select("a", "b"), "near", stays=True)
 
 
 def _hopeful(pairs: DataFrame) -> DataFrame:
@@ -147,57 +187,69 @@ def _close(n: str, m: str) -> Column:
     return (5 * F.col(n) >= 4 * F.col(m)) & (5 * F.col(m) >= 4 * F.col(n))
 
 
-def _checked(pairs: DataFrame, drawn: DataFrame, sets: DataFrame) -> DataFrame:
-    """A stored table of those of ``pairs (a, b, n, m)`` that are linked: by sketches, then in full."""
-    kept = _both(stored(pairs, "candidates"), drawn, "bits").where(_sketched("x", "y", "n", "m")).select("a", "b", "n", "m")
-    return stored(verified(kept, sets), "near")
+def _tied(links: DataFrame) -> DataFrame:
+    """The stored groups ``(node, component)`` of links."""
+    with passing(links.sparkSession):
+        return stored(components(links), "tied", stays=True)
+
+
+def _checked(pairs: DataFrame, drawn: DataFrame, docs: DataFrame, sets: DataFrame, text: str) -> DataFrame:
+    """A stored table of those of ``pairs (a, b, n, m)`` that are linked: by sketches and prefixes, then in full."""
+    with passing(docs.sparkSession):
+        kept = _both(stored(pairs, "candidates"), drawn, "bits").where(_sketched("x", "y", "n", "m")).select("a", "b", "n", "m")
+        met = _both(stored(kept, "sketched"), drawn, "prefix").withColumn("c", F.size(F.array_intersect("x", "y")))
+        return stored(verified(_hopeful(met), docs, sets, text), "linked", stays=True)
 
 
 def _apart(met: DataFrame, links: DataFrame) -> DataFrame:
     """A stored table of the ``met (shingle, node, n, group)`` of meeting places with sets in several groups of ``links``."""
-    tied = maybe_broadcast(stored(components(links), "tied"), 2)
-    named = met.select("shingle", "node", "n").join(tied, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("group"))
-    apart = named.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("shingle")
-    return stored(named.join(apart, "shingle", "left_semi"), "apart")
+    with passing(met.sparkSession):
+        tied = maybe_broadcast(_tied(links), 2)
+        named = met.select("shingle", "node", "n").join(tied, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("group"))
+        apart = named.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("shingle")
+        return stored(named.join(stored(apart, "places"), "shingle", "left_semi"), "apart", stays=True)
 
 
-def near_links(sets: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` between nodes that leave the same groups as all links of similarity 4/5 or more."""
-    drawn = stored(sets.groupBy("node").agg(F.first("bits").alias("bits"), F.first("fp").alias("fp"), F.first(F.size("shingles")).alias("n")), "sketches")
+def near_links(sets: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Links ``(a, b)`` between nodes that leave the same groups as all links of similarity 4/5 or more.
+
+    ``sets`` is what ``sets_of`` makes of ``docs``, stored.
+    """
+    firsts = [F.first(c).alias(c) for c in ("bits", "fp", "n", "prefix")]
+    drawn = stored(sets.groupBy("node").agg(*firsts), "sketches")
     sized = [drawn.select(F.col("node").alias(end), F.col("n").alias(size)) for end, size in (("a", "n"), ("b", "m"))]
     named = nearest(drawn, 0.8, RADIUS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _checked(named.join(sized[0], "a").join(sized[1], "b").where(_close("n", "m")), drawn, sets)
-    met = stored(prefixes(sets), "prefixes")
-    several = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("shingle")
-    met = _apart(met.join(several, "shingle", "left_semi"), links)
+    links = _checked(named.join(sized[0], "a").join(sized[1], "b").where(_close("n", "m")), drawn, docs, sets, text)
+    met = _apart(prefixes(drawn), links)
     for k in range(ROUNDS):
         rank = F.xxhash64("node") if k == 0 else F.xxhash64(F.lit(k), "shingle", "node")  # first the same set in many places
         centre = met.groupBy("shingle").agg(F.min_by(F.struct("node", "n", "group"), rank).alias("o"))
         found = met.join(centre, "shingle").where((F.col("group") != F.col("o.group")) & _close("n", "o.n"))
         found = found.select(F.col("node").alias("a"), F.col("o.node").alias("b"), "n", F.col("o.n").alias("m")).distinct()
-        links = links.unionByName(_checked(found, drawn, sets))
+        links = links.unionByName(_checked(found, drawn, docs, sets, text))
         met = _apart(met, links)
     met = stored(met.join(drawn.select("node", "bits"), "node").withColumnRenamed("node", "a"), "sketched").alias("l")
     other = met.select(F.col("shingle").alias("at"), F.col("a").alias("b"), F.col("n").alias("m"), F.col("group").alias("others"), F.col("bits").alias("y"))
     able = (F.col("a") < F.col("b")) & (F.col("group") != F.col("others")) & _close("n", "m") & _sketched("bits", "y", "n", "m")
     pairs = met.join(other, (F.col("shingle") == F.col("at")) & able)
     pairs = pairs.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c"))
-    return links.unionByName(stored(verified(_hopeful(pairs), sets), "near"))
+    return links.unionByName(verified(_hopeful(pairs), docs, sets, text))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near copies: that of the smallest id, null ids last, then of the smallest text hash."""
-    sets = stored(sets_of(docs, doc_id, text), "sets")
-    tied = maybe_broadcast(stored(components(near_links(sets)), "components"), 2)
-    rows = sets.select("doc_id", "text_key", "node").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return survivors(docs, rows, doc_id, text)
+    with passing(docs.sparkSession):
+        sets = stored(sets_of(docs, doc_id, text), "sets")
+        tied = maybe_broadcast(_tied(near_links(sets, docs, text)), 2)
+        rows = sets.select("doc_id", "text_key", "node").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return survivors(docs, rows, doc_id, text)
 
 
 def survivors(docs: DataFrame, rows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` for each component of ``rows (doc_id, text_key, component)``, named by id and text hash."""
     at = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key")
     one = rows.groupBy("component").agg(F.min(at).alias("one")).select(F.col("one.doc_id").alias("__id"), F.col("one.text_key").alias("__key"))
-    one = stored(one, "survivors")
+    one = stored(one, "survivors", stays=True)
     same = lambda key, value: F.col("__id").eqNullSafe(F.col(key)) & (F.col("__key") == value)
     repeated = rows.join(one, same("doc_id", F.col("text_key")), "left_semi").groupBy("doc_id", "text_key").count().where("count > 1")
     kept = docs.join(one, same(doc_id, F.xxhash64(F.col(text).cast("string"))), "left_semi")

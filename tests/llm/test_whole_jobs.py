@@ -168,3 +168,27 @@ def test_training_makes_no_floats_too_small_to_be_normal():
     tiny = np.finfo(np.float32).tiny
     for _, grad in net.gradients(ids, at, classes[codes], slot[codes]).values():
         assert not ((grad != 0) & (np.abs(grad) < tiny)).any()
+
+
+# -- disk
+
+
+def test_near_dedup_leaves_only_survivors_on_disk(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+    from cubiform.llm import common
+
+    monkeypatch.setattr(common, "shared_root", lambda spark: f"file://{tmp_path}")
+    kept = corpus_pipeline.near_dedup(spark, docs(spark), "")
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["survivors"]
+    assert kept.count() == len({r[1] if (r[1] or "").strip() else "" for r in DOCS}) - 1  # LONG is a near copy of its longer form
+    assert "shingles" not in shingles.sets_of(docs(spark)).columns
+
+
+def test_shuffles_of_stored_tables_go(spark):
+    from cubiform.llm import common
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum(1 for f in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f)
+    before = files()
+    assert common.stored(spark.range(1000).repartition(3, "id"), "dealt").count() == 1000
+    assert files() <= before
