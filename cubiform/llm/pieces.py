@@ -25,25 +25,26 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, stored
+from .common import give_back, setting, stored
 
 SPACE = "▁"
 #: Bytes of encoded words that are broadcast at most; the rest are joined.
 PACKED_BYTES = 128 << 20
 #: Words that a task is meant to encode.
 TASK_WORDS = 32768
+#: Words of texts, repeats included, that a task counts at a time.
+COUNTED = 1 << 22
 #: Characters of the longest part whose starts and end fit into the bits of a number.
 SHORT = 61
 #: Latin letters, after which a stop may end a word.
@@ -106,72 +107,95 @@ class Pieces:
         All words are looked at as one array of characters.
         """
         text = "".join(words).replace(" ", SPACE)
-        code = self.numbers[np.frombuffer(text.encode("utf-32-le"), "<u4")]
         whole = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        ends = np.ones(len(text), bool)  # whether a part ends behind a character
-        ends[:-1] = ~self.joined[code[:-1], code[1:]]
-        ends[whole - 1] = True
-        last = np.flatnonzero(ends) + 1
+        last = self._ends(np.frombuffer(text.encode("utf-32-le"), "<u4"), whole)
         at = last.tolist()
         flat = [text[a:b] for a, b in zip(chain((0,), at), at, strict=False)]
         upto = (np.searchsorted(last, whole) + 1).tolist()
         return [flat[a:b] for a, b in zip(chain((0,), upto), upto, strict=False)]
 
-    def cutter(self):
-        """Text -> words: before a space, around a line end, and before a stop after a letter.
-
-        The marker is kept as the space it stands for, so that most texts stay one byte a character.
+    def _ends(self, points: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Where parts end in the code points of words, which end at ``whole``."""
+        code = self.numbers[points]
+        ends = np.ones(len(points), bool)
+        ends[:-1] = ~self.joined[code[:-1], code[1:]]
+        ends[whole - 1] = True
+        return np.flatnonzero(ends) + 1
+
+    def arrow_parts(self, words: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """``parts`` of words that are not empty, one after the other, and how many each word has."""
+        at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        text = words.buffers()[2][at[0] : at[-1]].to_pybytes().decode().replace(" ", SPACE)
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        whole = np.cumsum(pc.utf8_length(words).to_numpy())
+        last = self._ends(points, whole)
+        width = 1 + (points >= 0x80) + (points >= 0x800).astype(np.int64) + (points >= 0x10000)
+        starts = np.append(0, np.cumsum(width)[last - 1])
+        flat = pa.LargeStringArray.from_buffers(len(last), pa.py_buffer(starts), pa.py_buffer(text.encode()))
+        return flat, np.diff(np.searchsorted(last, whole) + 1, prepend=0)
+
+    def marker(self):
+        """Text without ``\\0`` -> the text with one between its words: before a space, around a line end, and before a stop after a letter.
+
+        The marker is kept as the space it stands for, so that most texts stay one byte a character. Two ``\\0`` may stand together.
         """
         stop = re.compile(f"[{re.escape(self.stops)}](?<=[{LETTERS}][{re.escape(self.stops)}])") if self.stops else None
-        zero = re.compile("(\0)")
 
-        def words(marked: str) -> list[str]:
-            marked = marked.replace("\n", "\0\n\0").replace(" ", "\0 ")
+        def mark(text: str) -> str:
+            marked = text.replace("\n", "\0\n\0").replace(" ", "\0 ")
             while " \0 " in marked:
                 marked = marked.replace(" \0 ", "  ")
-            if stop:
-                marked = stop.sub("\0\\g<0>", marked)
-            return list(filter(None, marked.split("\0")))
+            return stop.sub("\0\\g<0>", marked) if stop else marked
+
+        return mark
+
+    def cutter(self):
+        """Texts -> their words, one after the other in an Arrow array, and how many each has.
+
+        Words are cut in Arrow, so a word is no Python object. Empty words may be among them; null and empty texts have no others.
+        """
+        mark, zero = self.marker(), re.compile("(\0)")
+
+        def cut(text: str) -> list[str]:  # no piece has a \\0
+            return [w for p in zero.split(" " + text.replace(SPACE, " ")) for w in ([p] if p == "\0" else mark(p).split("\0"))]
 
-        def cut(text: str) -> list[str]:
-            if not text:
-                return []
-            marked = " " + text.replace(SPACE, " ")
-            if "\0" in text:  # no piece has it
-                return [w for p in zero.split(marked) for w in ([p] if p == "\0" else words(p))]
-            return words(marked)
+        def words(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+            if any(t and "\0" in t for t in texts):
+                lists = pa.array([cut(t) if t else [] for t in texts], pa.large_list(pa.large_string()))
+            else:
+                lists = pc.split_pattern(pa.array([mark(" " + t.replace(SPACE, " ")) if t else "" for t in texts], pa.large_string()), "\0")
+            return lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
 
-        return cut
+        return words
 
 
 def distinct_parts(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     """``(word, n)`` of the parts of all words of all texts."""
-    cut, parts = pieces.cutter(), pieces.parts
-
-    def counts(found: Counter) -> Iterator[pa.RecordBatch]:
-        split: Counter = Counter()
-        every = list(found.items())
-        for k in range(0, len(every), 16384):
-            some = every[k : k + 16384]
-            for ps, (_, n) in zip(parts([w for w, _ in some]), some, strict=True):
-                for p in ps:
-                    split[p] += n
-        words, n = list(split), np.fromiter(split.values(), np.int64, len(split))
-        for k in range(0, len(words), 32768):
-            yield pa.RecordBatch.from_arrays([pa.array(words[k : k + 32768], pa.string()), pa.array(n[k : k + 32768])], names=["word", "n"])
+    cut = pieces.cutter()
+
+    def counts(words: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        found = pa.chunked_array(words, pa.large_string()).value_counts()
+        found = pa.RecordBatch.from_struct_array(found).filter(pc.not_equal(found.field("values"), ""))
+        split = []
+        for k in range(0, found.num_rows, 1 << 16):
+            some = found.slice(k, 1 << 16)
+            flat, each = pieces.arrow_parts(some.column(0))
+            split.append(pa.table({"word": flat.cast(pa.string()), "n": np.repeat(some.column(1).to_numpy(), each)}))
+        if split:
+            summed = pa.concat_tables(split).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            yield from summed.select(["word", "n_sum"]).rename_columns(["word", "n"]).combine_chunks().to_batches(32768)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        words: list[pa.Array] = []
         for b in batches:
             for k in range(0, b.num_rows, 256):
-                for t in b.column(0).slice(k, 256).to_pylist():
-                    found.update(cut(t or ""))
-                if len(found) > 1 << 18:
-                    yield from counts(found)
-                    found = Counter()
-        if found:
-            yield from counts(found)
-        del found
+                words.append(cut(b.column(0).slice(k, 256).to_pylist())[0])
+                if sum(map(len, words)) > COUNTED or sum(w.nbytes for w in words) > 16 * COUNTED:
+                    yield from counts(words)
+                    words = []
+        if words:
+            yield from counts(words)
+        del words
         give_back()
 
     counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word string, n long")
@@ -404,27 +428,21 @@ class Packed:
         hit = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
         return [self.ids[self.ends[k] : self.ends[k + 1]].tobytes() if ok else None for k, ok in zip(at.tolist(), hit.tolist(), strict=True)]
 
-    def words(self, cuts: list[list[str]], parts: Callable[[list[str]], list[list[str]]]) -> list[list[bytes | None]]:
-        """Ids of all words of each text; None for a word with a part that is not packed."""
-        get = self.known.get
-        out: list[list[bytes | None]] = [list(map(get, c)) for c in cuts]
-        open_ = [k for k, ids in enumerate(out) if None in ids]
-        if not open_:
-            return out
-        new = list({w for k in open_ for w, i in zip(cuts[k], out[k], strict=True) if i is None})
+    def words(self, words: list[str], parts: Callable[[list[str]], list[list[str]]]) -> list[bytes | None]:
+        """Ids of different words; None for a word with a part that is not packed."""
+        out = list(map(self.known.get, words))
+        new = [w for w, i in zip(words, out, strict=True) if i is None and w]
         split = parts(new)
         flat = list(set(chain.from_iterable(split)))
         ids = dict(zip(flat, self.find(flat), strict=True))
-        fresh: dict[str, bytes] = {}
+        fresh = {"": b""}
         for w, ps in zip(new, split, strict=True):
             got = [ids[p] for p in ps]
             if None not in got:
                 fresh[w] = b"".join(got)
-        for k in open_:
-            out[k] = [fresh.get(w) if i is None else i for w, i in zip(cuts[k], out[k], strict=True)]
         if len(self.known) + len(fresh) <= self.most:
             self.known.update(fresh)
-        return out
+        return [fresh.get(w) if i is None else i for w, i in zip(words, out, strict=True)]
 
 
 def _frequent(words: DataFrame) -> tuple[DataFrame, bool]:
@@ -441,24 +459,12 @@ def _frequent(words: DataFrame) -> tuple[DataFrame, bool]:
     return words.where(level >= least).select("word", "ids"), total <= PACKED_BYTES
 
 
-@contextmanager
-def _hashed(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Groups of a task stay in memory up to ``rows`` of them, while a table is written."""
-    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def encoded_parts(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     """``(word, n, ids)`` of every distinct part of a word of the texts, as a table in the shared folder."""
     spark = docs.sparkSession
     words = stored(distinct_parts(docs, pieces, text), "words")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // TASK_WORDS))
-    with _hashed(spark, 4 * TASK_WORDS):
+    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * TASK_WORDS)):  # groups of a task stay in memory
         return stored(encode_words(words, pieces, tasks), "encoded")
 
 
@@ -484,7 +490,7 @@ def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
             for b in batches:
                 for at in range(0, b.num_rows, 256):
                     part = b.slice(at, 256)
-                    own = [list(set(chain.from_iterable(parts(list(set(cut(t or ""))))))) for t in part.column(2).to_pylist()]
+                    own = [list(set(chain.from_iterable(parts(list(filter(None, cut([t])[0].unique().to_pylist())))))) for t in part.column(2).to_pylist()]
                     every = list({p for c in own for p in c})
                     lost = {p for p, i in zip(every, sent.value.find(every), strict=True) if i is None}
                     pairs = [(k, p) for k, c in enumerate(own) for p in c if p in lost]
@@ -502,17 +508,16 @@ def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 texts = part.column(at_text).to_pylist()
-                cuts = [cut(t or "") for t in texts]
-                out = []
-                for k, (t, c, got) in enumerate(zip(texts, cuts, sent.value.words(cuts, parts), strict=True)):
-                    if None in got:
-                        own = {w: np.array(v, "<u4").tobytes() for w, v in part.column(width)[k].as_py()}
-                        find = lambda p, own=own: own[p] if p in own else sent.value.find([p])[0]
-                        got = [b"".join(map(find, parts([w])[0])) if g is None else g for w, g in zip(c, got, strict=True)]
-                    out.append(None if t is None else np.frombuffer(b"".join(got), "<u4"))
-                size = np.array([0 if x is None else len(x) for x in out])
-                flat = np.concatenate([x for x in out if x is not None] or [np.empty(0, np.uint32)]).astype(np.int32)
-                starts = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), mask=np.append([x is None for x in out], False))
+                words, length = cut(texts)
+                words = words.dictionary_encode()
+                each = words.dictionary.to_pylist()
+                got = sent.value.words(each, parts)
+                if None in got:
+                    own = {w: np.array(v, "<u4").tobytes() for x in part.column(width).to_pylist() for w, v in x or ()}
+                    find = lambda p, own=own: own[p] if p in own else sent.value.find([p])[0]
+                    got = [b"".join(map(find, parts([w])[0])) if g is None else g for w, g in zip(each, got, strict=True)]
+                size, flat = _laid_out(got, words.indices.to_numpy(), length)
+                starts = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), mask=np.array([*(t is None for t in texts), False]))
                 columns = [*part.columns[:width], pa.ListArray.from_arrays(starts, pa.array(flat))]
                 if verify:
                     same = [t is None or x == t.replace(SPACE, " ").encode() for t, x in zip(texts, names.value.texts(flat, size), strict=True)]
@@ -523,30 +528,32 @@ def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
     return rows.mapInArrow(run, schema)
 
 
+def _laid_out(ids: list[bytes], words: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each text has, and all of them: texts of so many of ``words``, numbers of what has ``ids``."""
+    ends, flat = _joined(pa.array(ids, pa.large_binary()), words)
+    return np.diff(ends[np.concatenate([[0], np.cumsum(length)])]) // 4, np.frombuffer(flat, "<i4")
+
+
+def _joined(parts: pa.LargeBinaryArray, numbers: np.ndarray) -> tuple[np.ndarray, pa.Buffer | bytes]:
+    """Where each part ends, 0 before them, and the bytes of those parts one after the other."""
+    if not len(numbers):
+        return np.zeros(1, np.int64), b""
+    found = parts.take(pa.array(numbers))
+    ends = np.frombuffer(found.buffers()[1], np.int64)[: len(numbers) + 1]
+    return ends, found.buffers()[2][: ends[-1]] if found.buffers()[2] else b""
+
+
 class Names:
     """What ids decode to, as one run of bytes: markers are spaces already."""
 
-    def __init__(self, names: list[bytes], step: int = 1 << 17):
-        plain = [n.replace(SPACE.encode(), b" ") for n in names]
-        self.sizes, self.step = np.fromiter(map(len, plain), np.int64, len(plain)), step
-        self.starts, self.bytes = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(plain), np.uint8)
-
-    def text(self, ids: np.ndarray) -> bytes:
-        """The bytes of ids, the dummy prefix included."""
-        out = []
-        for k in range(0, len(ids), self.step):
-            some = ids[k : k + self.step]
-            n = self.sizes[some]
-            at = np.repeat(self.starts[some] - (np.cumsum(n) - n), n)
-            at += np.arange(len(at))
-            out.append(self.bytes[at].tobytes())
-        return b"".join(out)
+    def __init__(self, names: list[bytes]):
+        self.plain = pa.array([n.replace(SPACE.encode(), b" ") for n in names], pa.large_binary())
 
     def texts(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """The UTF-8 of each of several texts, whose ids follow each other: pieces joined, the dummy prefix off."""
-        whole, length = self.text(ids), np.concatenate([[0], np.cumsum(self.sizes[ids])])
-        ends = length[np.cumsum(sizes)].tolist()
-        return [whole[a + (whole[a : min(a + 1, b)] == b" ") : b] for a, b in zip([0, *ends], ends, strict=False)]
+        length, whole = _joined(self.plain, ids)
+        whole, ends = memoryview(whole), length[np.cumsum(sizes)].tolist()
+        return [bytes(whole[a + (whole[a : min(a + 1, b)] == b" ") : b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def decode(coded: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "decoded") -> DataFrame:

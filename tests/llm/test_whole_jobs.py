@@ -7,7 +7,8 @@ import random
 import numpy as np
 import pytest
 
-from cubiform.llm import decontaminate, langid, lmscore, shingles, simhash
+from cubiform.llm import decontaminate, langid, lmscore, pieces, shingles, simhash
+from cubiform.llm.queries import tokenizer_path
 
 from .fixtures import DOCS, docs, empty
 
@@ -192,3 +193,27 @@ def test_shuffles_of_stored_tables_go(spark):
     before = files()
     assert common.stored(spark.range(1000).repartition(3, "id"), "dealt").count() == 1000
     assert files() <= before
+
+
+# -- pieces
+
+
+def test_words_are_cut_counted_and_joined_in_arrow(spark):
+    import pyarrow as pa
+
+    model = pieces.Pieces.load(tokenizer_path("piece_bpe_32k.model"))
+    plain = [None, "", "a  b,\n\n c 漢字 😀 ▁x", " \n", "It's ok.No"]
+    for texts in (plain, [*plain, "d\0e f", "\0"]):  # with a \0 they are cut apart in Python
+        words, length = model.cutter()(texts)
+        assert isinstance(words, pa.Array) and len(words) == length.sum()
+        ends = np.cumsum([0, *length]).tolist()
+        for t, a, b in zip(texts, ends, ends[1:], strict=False):
+            assert "".join(words.slice(a, b - a).to_pylist()) == (" " + t.replace("▁", " ") if t else "")
+        each = sorted({w for w in words.to_pylist() if w})
+        flat, n = model.arrow_parts(pa.array(["-", *each], pa.large_string()).slice(1))
+        ends = np.cumsum([0, *n]).tolist()
+        assert [flat.slice(a, b - a).to_pylist() for a, b in zip(ends, ends[1:], strict=False)] == model.parts(each)
+    counted = {r.word: r.n for r in pieces.distinct_parts(docs(spark, [(k, t, "en", "s") for k, t in enumerate(["a b a", "a\0b", None, "", " a"])]), model).collect()}
+    assert counted == {"▁a": 3, "▁▁a": 1, "▁b": 1, "\0": 1, "b": 1}
+    size, ids = pieces._laid_out([b"", b"abcd", b"12345678"], np.array([0, 1, 2, 2, 0, 1]), np.array([0, 3, 0, 2, 1, 0]))
+    assert size.tolist() == [0, 3, 0, 2, 1, 0] and ids.tobytes() == b"abcd1234567812345678abcd"
